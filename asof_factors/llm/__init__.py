@@ -16,13 +16,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _modules():
-    from . import chat_format, decontaminate, exact_dedup, url_filter
+    from . import chat_format, decontaminate, exact_dedup, html_extract, sentencepiece_codec, simhash_dedup, url_filter
 
     return {
+        "op3_simhash_near_dedup": simhash_dedup,
         "op5_chat_formatting": chat_format,
         "op6_decontamination": decontaminate,
+        "op7_html_extraction": html_extract,
         "op8_url_filters": url_filter,
         "op9_exact_dedup": exact_dedup,
+        "op10_sentencepiece": sentencepiece_codec,
     }
 
 
