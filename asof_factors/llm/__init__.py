@@ -16,11 +16,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _modules():
-    from . import chat_format, decontaminate, exact_dedup, html_extract, sentencepiece_codec, simhash_dedup, toxicity, url_filter
+    from . import chat_format, decontaminate, exact_dedup, html_extract, pii, sentencepiece_codec, simhash_dedup, toxicity, url_filter
 
     return {
         "op2_toxicity": toxicity,
         "op3_simhash_near_dedup": simhash_dedup,
+        "op4_pii": pii,
         "op5_chat_formatting": chat_format,
         "op6_decontamination": decontaminate,
         "op7_html_extraction": html_extract,
