@@ -16,9 +16,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _modules():
-    from . import chat_format, decontaminate, exact_dedup, html_extract, pii, sentencepiece_codec, simhash_dedup, toxicity, url_filter
+    from . import chat_format, decontaminate, exact_dedup, html_extract, pii, sentencepiece_codec, simhash_dedup, suffix_dedup, toxicity, url_filter
 
     return {
+        "op1_suffix_dedup": suffix_dedup,
         "op2_toxicity": toxicity,
         "op3_simhash_near_dedup": simhash_dedup,
         "op4_pii": pii,
