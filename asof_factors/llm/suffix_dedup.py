@@ -43,11 +43,11 @@ from .common import cut, table
 
 LENGTH = 400
 #: Lengths of anchors, level by level.
-ANCHORS = (128, 264, 332, 366, 383, 392, 396, 398, 399, 400)
+ANCHORS = (200, 264, 332, 366, 383, 392, 396, 398, 399, 400)
 #: Distinct pieces of one anchor that one task sorts, at most.
 MOST = 4096
 #: Pieces in a batch: no further anchor is added beyond it.
-BATCH = 2048
+BATCH = 1024
 #: A text is anchored in stretches of so many bytes.
 STRETCH = 1 << 23
 
@@ -147,48 +147,83 @@ def sort_columnwise(texts: list[bytes], folder: str) -> tuple[np.ndarray, np.nda
     size = np.array([len(t) for t in texts])
     flat = np.frombuffer(b"".join(texts), np.uint8) + np.uint8(1)
     stop = np.cumsum(size)
-    files = [os.path.join(folder, x) for x in ("bwt", "lcp")]
-    np.where(size > 0, flat[np.maximum(stop - 1, 0)], 0).astype(np.uint8).tofile(files[0])
-    np.zeros(m, np.int16).tofile(files[1])
-    at, who = np.arange(m), np.arange(m)  # where each text's newest suffix is
-    for done in range(1, int(size.max(initial=0)) + 1):
-        bwt, lcp = np.fromfile(files[0], np.uint8), np.fromfile(files[1], np.int16)
-        symbol = bwt[at]
-        live = symbol > 0
-        at, who, symbol = at[live], who[live], symbol[live]
-        by = np.lexsort((at, symbol))
-        at, who, symbol = at[by], who[by], symbol[by]
-        order = np.argsort(bwt, kind="stable")  # occurrences of each symbol, from front to back
-        ends = np.cumsum(np.bincount(bwt, minlength=256))
-        zeros = ends[0]
-        found = np.empty(len(at), np.int64)
-        cuts = np.flatnonzero(np.diff(symbol)) + 1
-        for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
-            begin, end = ends[symbol[x] - 1], ends[symbol[x]]
-            found[x:y] = begin + np.searchsorted(order[begin:end], at[x:y])
-        begin, end = ends[symbol - 1], ends[symbol]
-        new = m + found - zeros  # position after this round's insertions
-
-        padded = np.append(lcp, np.int16(0))
-        least = lambda low, high: np.minimum.reduceat(padded, np.stack((low, high), 1).ravel())[::2] if len(low) else low
-        before, after = found > begin, found + 1 < end
-        with_before = np.zeros(len(at), np.int16)
-        with_before[before] = 1 + least(order[found[before] - 1] + 1, at[before] + 1)
-        with_after = 1 + least(at[after] + 1, order[found[after] + 1] + 1)
-
-        old = np.ones(len(bwt) + len(at), bool)
-        old[new] = False
-        left = size[who] - done
-        fresh = np.where(left > 0, flat[np.maximum(stop[who] - done - 1, 0)], 0).astype(np.uint8)
-        for file, given, put in ((files[0], bwt, fresh), (files[1], lcp, with_before)):
-            out = np.empty(len(old), given.dtype)
-            out[old] = given
-            out[new] = put
-            if file == files[1]:
-                out[new[after] + 1] = with_after
-            out.tofile(file)
-        at = new
-    return np.fromfile(files[0], np.uint8), np.fromfile(files[1], np.int16)
+    count = np.zeros(256, np.int64)  # of each symbol in the transform
+    n = m
+    with Column(os.path.join(folder, "bwt"), np.uint8) as bwt_file, Column(os.path.join(folder, "lcp"), np.int16) as lcp_file:
+        first = np.where(size > 0, flat[np.maximum(stop - 1, 0)], 0).astype(np.uint8)
+        count += np.bincount(first, minlength=256)
+        bwt_file.write(first)
+        lcp_file.write(np.zeros(m + 1, np.int16))
+        at, who = np.arange(m), np.arange(m)  # where each text's newest suffix is
+        for done in range(1, int(size.max(initial=0)) + 1):
+            bwt, lcp = bwt_file.read(n), lcp_file.read(n + 1)  # one more, for reduceat
+            symbol = bwt[at]
+            by = np.lexsort((at, symbol))
+            by = by[np.count_nonzero(symbol == 0) :]
+            at, who, symbol = at[by], who[by], symbol[by]
+            order = np.argsort(bwt, kind="stable")  # occurrences of each symbol, from front to back
+            ends = np.cumsum(count)
+            found = np.empty(len(at), np.int64)
+            cuts = np.flatnonzero(np.diff(symbol)) + 1
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
+                begin = ends[symbol[x] - 1]
+                found[x:y] = begin + np.searchsorted(order[begin : ends[symbol[x]]], at[x:y])
+            new = m - ends[0] + found  # position after this round's insertions
+
+            # common prefixes with the suffixes before and after
+            before, after = found > ends[symbol - 1], found + 1 < ends[symbol]
+            with_before = np.zeros(len(at), np.int16)
+            with_before[before] = 1 + _least(lcp, order[found[before] - 1] + 1, at[before] + 1)
+            with_after = 1 + _least(lcp, at[after] + 1, order[found[after] + 1] + 1)
+
+            left = size[who] - done
+            fresh = np.where(left > 0, flat[np.maximum(stop[who] - done - 1, 0)], 0).astype(np.uint8)
+            old = np.ones(n + len(at) + 1, bool)
+            old[new] = False
+            out = np.empty(n + len(at), np.uint8)
+            out[old[:-1]] = bwt
+            out[new] = fresh
+            bwt_file.write(out)
+            out = np.empty(n + len(at) + 1, np.int16)
+            out[old] = lcp
+            out[new] = with_before
+            out[new[after] + 1] = with_after
+            lcp_file.write(out)
+            count += np.bincount(fresh, minlength=256)
+            n += len(at)
+            at = new
+        return bwt_file.read(n), lcp_file.read(n)
+
+
+class Column:
+    """A sequential file of numbers that each round reads and writes over."""
+
+    def __init__(self, path: str, kind: type):
+        self.path, self.kind = path, kind
+
+    def __enter__(self) -> Column:
+        self.file = os.open(self.path, os.O_RDWR | os.O_CREAT)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        os.close(self.file)
+
+    def write(self, numbers: np.ndarray) -> None:
+        view, at = memoryview(numbers).cast("B"), 0
+        while at < len(view):
+            at += os.pwrite(self.file, view[at:], at)
+
+    def read(self, n: int) -> np.ndarray:
+        out = np.empty(n, self.kind)
+        view, at = memoryview(out).cast("B"), 0
+        while at < len(view):
+            at += os.preadv(self.file, [view[at:]], at)
+        return out
+
+
+def _least(lcp: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Minima of lcp[low:high]."""
+    return np.minimum.reduceat(lcp, np.stack((low, high), 1).ravel())[::2] if len(low) else low.astype(lcp.dtype)
 
 
 def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
