@@ -62,15 +62,15 @@ def fingerprint(text: object, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (signed 64-bit) of each row."""
+    """doc_id, text_hash and fp (signed 64-bit) of each row."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(x, size) for x in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": fp})
 
-    given = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
-    return given.mapInPandas(work, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    given = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text", f"xxhash64(coalesce(`{text_col}`, '')) AS text_hash")
+    return given.mapInPandas(work, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, text_hash bigint, fp bigint")
 
 
 def bit_groups(distinct: DataFrame, parts: int = PARTS) -> list[list[int]]:
@@ -224,14 +224,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id of each row."""
+    """doc_id, text_hash, fp and component_id of each row."""
     rows = cut(fingerprints(docs, id_col, text_col, size))
     firsts = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     joined = components(find_links(firsts, radius))
     own = firsts.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = own.groupBy("root").agg(F.min("first").alias("component_id"))
     named = own.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, size: int = 5, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns: of each group the
+    one with the smallest doc_id, then text hash."""
+    found = near_dedup(docs, size=size, radius=radius)
+    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    kept = found.groupBy("component_id").agg(F.min(own).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
+    return docs.join(kept, on, "left_semi")
 
 
 def hex_of(fp: Column) -> Column:
