@@ -69,7 +69,7 @@ def lookup(requests: DataFrame, facts: DataFrame) -> DataFrame:
     if pinned:
         on.append(r.pin.isNull() | (f.fiscal_period_end == r.pin))
     joined = r.join(f, on, "left").select("request_id", r.ticker, r.tag, "as_of_date", "fiscal_period_end", "filed_date", "start_date", "unit", "value")
-    order = F.struct("fiscal_period_end", "filed_date", F.coalesce(F.col("start_date"), F.lit(dt.date(1, 1, 1))).alias("s"), "value")
+    order = F.struct("fiscal_period_end", "filed_date", F.coalesce(F.col("start_date"), F.to_date(F.lit("0001-01-01"))).alias("s"), "value")
     return joined.groupBy("request_id", "ticker", "tag", "as_of_date").agg(F.max_by("value", F.when(F.col("filed_date").isNotNull(), order)).alias("value"))
 
 

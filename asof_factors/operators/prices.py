@@ -14,9 +14,15 @@ from pyspark.sql import functions as F
 from ..functions.expressions import month_index
 
 
-def month_ends(spark, start: dt.date, end: dt.date) -> DataFrame:
-    months = F.explode(F.sequence(F.lit(start.replace(day=1)), F.lit(end), F.expr("interval 1 month")))
-    return spark.range(1).select(F.last_day(months).alias("month_end")).filter(F.col("month_end") <= F.lit(end))
+def month_ends(start: dt.date, end: dt.date) -> list[dt.date]:
+    """Calendar month-ends from start to end."""
+    out, y, m = [], start.year, start.month
+    while True:
+        y, m = (y, m + 1) if m < 12 else (y + 1, 1)
+        last = dt.date(y, m, 1) - dt.timedelta(days=1)
+        if last > end:
+            return out
+        out.append(last)
 
 
 def strip_suffix(daily: DataFrame, suffix: str) -> DataFrame:
@@ -30,11 +36,9 @@ def month_end_closes(daily: DataFrame) -> DataFrame:
     return d.groupBy("ticker", F.last_day("date").alias("month_end")).agg(F.max_by("close", "date").alias("close"))
 
 
-def complete_grid(closes: DataFrame, tickers: DataFrame, months: DataFrame) -> DataFrame:
-    """Every asked ticker in every month, with nulls where it has no price.
-    The months, one row each, are folded into an array first."""
-    calendar = F.broadcast(months.agg(F.collect_set("month_end").alias("m")))  # one row
-    spine = tickers.select("ticker").distinct().join(calendar).select("ticker", F.explode("m").alias("month_end"))
+def complete_grid(closes: DataFrame, tickers: DataFrame, months: list[dt.date]) -> DataFrame:
+    """Every asked ticker in every month, with nulls where it has no price."""
+    spine = tickers.select("ticker").distinct().select("ticker", F.explode(F.array(*[F.lit(m) for m in months])).alias("month_end"))
     return spine.join(closes, ["ticker", "month_end"], "left")
 
 

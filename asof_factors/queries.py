@@ -209,11 +209,11 @@ def _daily(spark, d) -> DataFrame:
     return X.table(spark, d, "lineitem").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string"), F.lit(".KS")).alias("symbol"), F.to_date("l_shipdate").alias("date"), close.alias("close"), F.col("l_quantity").alias("volume"))
 
 
-@query("d6_month_end_closes", f"WITH {_DAILY}, one AS (SELECT ticker, date, max(close) AS close FROM daily WHERE close <> 0 GROUP BY ticker, date) SELECT ticker, last_day(date) AS month_end, round(max_by(close, date), 6) AS close FROM one GROUP BY ticker, last_day(date)")
+@query("d6_month_end_closes", f"WITH {_DAILY}, one AS (SELECT ticker, date, max(close) AS close FROM daily WHERE close <> 0 GROUP BY ticker, date) SELECT ticker, last_day(date) AS month_end, round(max_by(close, date), 9) AS close FROM one GROUP BY ticker, last_day(date)")
 def d6(spark, d):
     daily = prices.strip_suffix(_daily(spark, d), ".KS")
     one = daily.filter("close <> 0").groupBy("ticker", "date").agg(F.max("close").alias("close"))
-    return rounded(prices.month_end_closes(one))
+    return prices.month_end_closes(one).withColumn("close", F.round("close", 9))
 
 
 @query("e6_monthly_returns", O.sql("SELECT ticker, month_end, round(ret, 6) AS ret FROM returns", "returns"))
@@ -236,7 +236,7 @@ def e14(spark, d):
 @query("a18_complete_grid", O.sql("SELECT ticker, month_end, round(close, 4) AS close FROM prices", "prices"))
 def a18(spark, d):
     p = X.prices(spark, d)
-    months = prices.month_ends(spark, dt.date(1995, 1, 1), dt.date(2001, 12, 31))
+    months = prices.month_ends(dt.date(1995, 1, 1), dt.date(2001, 12, 31))
     return rounded(prices.complete_grid(p.filter(F.col("close").isNotNull()), X.sectors(spark, d), months))
 
 
@@ -318,7 +318,7 @@ def d10(spark, d):
     return rounded(portfolios.leg_decomposition(_book(spark, d)))
 
 
-_HORIZON = "h AS (SELECT horizon, b.as_of_date, avg(f) FILTER (decile = 10) - avg(f) FILTER (decile = 1) AS spread FROM book b JOIN (SELECT a.ticker, a.month_end, horizon, CASE WHEN count(r.ret) = horizon THEN product(1 + r.ret) - 1 END AS f FROM returns a, (VALUES (1), (3), (6), (12)) t(horizon), returns r WHERE r.ticker = a.ticker AND r.mi > a.mi AND r.mi <= a.mi + horizon GROUP BY ALL) x ON x.ticker = b.ticker AND x.month_end = b.as_of_date WHERE decile IN (1, 10) AND f IS NOT NULL GROUP BY horizon, b.as_of_date)"
+_HORIZON = "h AS (SELECT horizon, b.as_of_date, avg(f) FILTER (decile = 10) - avg(f) FILTER (decile = 1) AS spread FROM book b JOIN (SELECT a.ticker, a.month_end, horizon, CASE WHEN count(r.ret) = horizon THEN product(1 + r.ret) - 1 END AS f FROM returns a, (VALUES (1), (3), (6), (12)) t(horizon), returns r WHERE r.ticker = a.ticker AND r.mi > a.mi AND r.mi <= a.mi + horizon GROUP BY a.ticker, a.month_end, horizon) x ON x.ticker = b.ticker AND x.month_end = b.as_of_date WHERE decile IN (1, 10) AND f IS NOT NULL GROUP BY horizon, b.as_of_date)"
 
 
 @query("d11_horizon_spreads", _with(_HORIZON, "SELECT horizon, as_of_date, round(spread, 6) AS spread FROM h WHERE spread IS NOT NULL", "book", "returns"))
