@@ -527,6 +527,34 @@ def k4(spark, d):
     return rounded(portfolios.form_buckets(p, "composite_score").select("as_of_date", "ticker", "composite_score", "decile"))
 
 
+# ---- sources
+
+
+@query("a1_company_facts", O.sql("SELECT cik, ticker, tag, fiscal_period_end, start_date, filed_date, round(value, 4) AS value, filed_date > min(filed_date) OVER (PARTITION BY cik, tag, fiscal_period_end) AS is_restatement FROM facts", "facts"))
+def a1(spark, d):
+    from .sources import filings as S
+
+    nested = S.nest_facts(X.facts(spark, d)).select("cik", "ticker", F.from_json("json", S.COMPANY_FACTS).alias("facts"))
+    f = S.company_facts(nested)
+    return f.select("cik", "ticker", "tag", "fiscal_period_end", "start_date", "filed_date", r("value", 4).alias("value"), "is_restatement")
+
+
+@query("l1_stream_ingest", O.sql("SELECT cik, ticker, tag, fiscal_period_end, filed_date, round(value, 4) AS value, filed_date > min(filed_date) OVER (PARTITION BY cik, tag, fiscal_period_end) AS is_restatement FROM facts", "facts"))
+def l1(spark, d):
+    """Facts landed by filing year, streamed in, with one year delivered twice."""
+    import tempfile
+    import uuid
+
+    from .streaming import ingest as L
+
+    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")) + f"/ingest-{uuid.uuid4().hex}"
+    f = X.facts(spark, d)
+    f.repartition(F.year("filed_date")).write.parquet(f"{base}/landed")
+    f.filter(F.year("filed_date") == 1999).coalesce(1).write.mode("append").parquet(f"{base}/landed")
+    L.ingest(spark, f"{base}/landed", f"{base}/table", f"{base}/checkpoint")
+    return L.current_facts(spark, f"{base}/table").select("cik", "ticker", "tag", "fiscal_period_end", "filed_date", r("value", 4).alias("value"), "is_restatement")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of high F-score at one date, best first."""
     from .operators.scores import apply_screens, score
@@ -535,3 +563,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = asof.snapshot(X.facts(spark, sf_dir), [AS_OF], TAGS).withColumn("market_cap", F.lit(None).cast("double"))
     rows = score(wide).select("as_of_date", "ticker", *SCORES)
     return apply_screens(rows, ["f_high"]).orderBy(F.desc("f_score"), "ticker")
+
