@@ -22,10 +22,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: Date columns of results, where not just as_of_date: both sides give ISO text.
+DATES = {
+    "e1_latest_filings": ["fiscal_period_end", "filed_date"],
+    "e2_period_ranks": ["as_of_date", "fiscal_period_end"],
+    "e3_restatement_flags": ["fiscal_period_end", "filed_date"],
+    "i4_pit_snapshot": ["as_of_date", "fiscal_period_end"],
+    "d16_restated": ["fiscal_period_end", "first_filed", "last_filed"],
+    "c7_first_filing_after": ["period_end", "filed_date"],
+    "g2_membership_unwinding": ["start_date", "end_date"],
+    "d6_month_end_closes": ["month_end"],
+    "e6_monthly_returns": ["month_end"],
+    "e14_forward_returns": ["month_end"],
+    "a18_complete_grid": ["month_end"],
+    "j12_net_of_costs": ["date"],
+    "e12_rolling_hurdle": ["date"],
+    "e13_cumulative": ["date"],
+    "j8_training_moments": ["refit_date"],
+    "a1_company_facts": ["fiscal_period_end", "start_date", "filed_date"],
+    "l1_stream_ingest": ["fiscal_period_end", "filed_date"],
+}
+UNDATED = {"n7_filing_lags", "n6_tag_coverage", "b14_latest_section", "g6_universe_overlap", "n1_drawdowns", "f7_liquid_universe", "d8_sector_attribution", "d12_sector_heatmap", "d13_score_return_line", "j13_breakeven_cost", "n3_bucket_gradient"}
+
+
 def query(name: str, sql: str | None = None):
     def keep(f):
-        QUERIES[name] = f
-        if sql:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.withColumns({c: F.col(c).cast("string") for c, t in df.dtypes if t == "date"})
+
+        QUERIES[name] = run
+        series = name[0] == "j" or name in ("n4_calendar_years", "n5_hurdle_years", "d14_half_samples")
+        dates = DATES.get(name, [] if series or name in UNDATED else ["as_of_date"])
+        if sql and dates:
+            SQL[name] = f"SELECT * REPLACE ({', '.join(f'CAST(CAST({c} AS DATE) AS VARCHAR) AS {c}' for c in dates)}) FROM (\n{sql}\n)"
+        elif sql:
             SQL[name] = sql
         return f
 
