@@ -10,12 +10,16 @@ in pieces of equal anchors.  Pieces whose anchor occurs once are dropped;
 identical pieces are counted and one of them is kept.
 
 The distinct pieces of equal anchors are then a document collection.  Batches
-of them, whole anchors at a time, get their suffixes sorted column-wise: each
-round inserts one symbol of every piece, from its end, into the collection's
-Burrows-Wheeler transform, and updates the longest common prefixes next to the
-insertions; both live in sequential files in the task's temporary folder that
-a round reads and writes from front to back.  Afterwards each suffix of LENGTH
-bytes or more that shares LENGTH with a neighbour starts a repeated string.
+of them, whole anchors at a time, are built column-wise: from the last column
+to the first, each round inserts one symbol of every piece into the
+collection's Burrows-Wheeler transform and updates the longest common
+prefixes.  Pieces are aligned at their anchors, so equal strings start in the
+same column and suffixes of different columns need never be ordered: the
+transform is kept by columns, and a round reads the last column of the two
+sequential files in the task's temporary folder and appends its own.  A suffix
+of LENGTH bytes or more that shares LENGTH with a neighbour in its column
+starts a repeated string.  (Keeping all columns in one transform gives the same
+strings but moves the whole transform each round: see the README.)
 
 An anchor with more than ``MOST`` distinct pieces (a passage shared by very
 many documents) would fill one task; its pieces are anchored anew with a
@@ -36,6 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +48,11 @@ from .common import cut, table
 
 LENGTH = 400
 #: Lengths of anchors, level by level.
-ANCHORS = (200, 264, 332, 366, 383, 392, 396, 398, 399, 400)
+ANCHORS = (128, 264, 332, 366, 383, 392, 396, 398, 399, 400)
 #: Distinct pieces of one anchor that one task sorts, at most.
-MOST = 4096
+MOST = 8192
 #: Pieces in a batch: no further anchor is added beyond it.
-BATCH = 1024
+BATCH = 4096
 #: A text is anchored in stretches of so many bytes.
 STRETCH = 1 << 23
 
@@ -65,11 +70,12 @@ def _powers(n: int, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarra
     return known["up"], known["down"]
 
 
-def pieces(data: bytes, q: int, known: dict[str, np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first and last start of the strings, for each piece."""
+def pieces(data: bytes, q: int, known: dict[str, np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """For each piece its anchor's hash, the first and last start of its
+    strings, and the anchor's place after the first start."""
     n, width = len(data), length - q + 1
     if n < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     up, down = _powers(n + 1, known)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)))
     h = (total[q:] - total[:-q]) * down[: n - q + 1]
@@ -87,50 +93,65 @@ def pieces(data: bytes, q: int, known: dict[str, np.ndarray], length: int = LENG
     anchor = (np.minimum(behind[:m], ahead[width - 1 : width - 1 + m]) & POSITION).astype(np.int64)
     last = np.concatenate((np.flatnonzero(np.diff(anchor)), [m - 1]))
     first = np.concatenate(([0], last[:-1] + 1))
-    return h[anchor[last]], first, last
+    return h[anchor[last]], first, last, anchor[last] - first
 
 
-def all_pieces(data: bytes, q: int, known: dict[str, np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def all_pieces(data: bytes, q: int, known: dict[str, np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     if len(data) <= STRETCH:
         return pieces(data, q, known, length)
     out = []
     for at in range(0, len(data), STRETCH):
-        key, first, last = pieces(data[at : at + STRETCH + length - 1], q, known, length)
-        out.append((key, first + at, last + at))
+        key, first, last, place = pieces(data[at : at + STRETCH + length - 1], q, known, length)
+        out.append((key, first + at, last + at, place))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _anchored(units: DataFrame, q: int, length: int, text: bool) -> DataFrame:
-    """u1, u2, n, key, seg, first, last of each piece of ``units`` (u1, u2, n, data)."""
+def packed(docs: DataFrame) -> DataFrame:
+    """u1, u2 (hashes of doc_id and text), n = 1 and the text's bytes, with
+    zstd, so that shuffles are small."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            b["data"] = [squeeze(x.encode("utf-8", "replace")) for x in b["data"]]
+            yield b
+
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.xxhash64("doc_id").alias("u1"), F.xxhash64(text).alias("u2"), F.lit(1).cast("long").alias("n"), text.alias("data")).mapInPandas(work, "u1 bigint, u2 bigint, n bigint, data binary")
+
+
+def _anchored(units: DataFrame, q: int, length: int) -> DataFrame:
+    """u1, u2, n, key, seg, first, last, place of each piece of ``units`` (u1, u2, n, data)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, np.ndarray] = {}
-        digest = xxhash.xxh3_64_intdigest
+        digest, open_ = xxhash.xxh3_64_intdigest, zstandard.ZstdDecompressor().decompress
         for b in batches:
             parts = []
             for u1, u2, n, data in zip(b["u1"], b["u2"], b["n"], b["data"]):
-                data = data.encode("utf-8", "replace") if text else bytes(data)
-                key, first, last = all_pieces(data, q, known, length)
+                data = open_(data)
+                key, first, last, place = all_pieces(data, q, known, length)
                 if len(key):
                     seg = np.array([digest(data[x:y]) for x, y in zip(first.tolist(), (last + length).tolist())], dtype=np.uint64)
                     size = len(key)
-                    parts.append((np.full(size, u1), np.full(size, u2), np.full(size, n), key.view(np.int64), seg.view(np.int64), first, last))
+                    parts.append((np.full(size, u1), np.full(size, u2), np.full(size, n), key.view(np.int64), seg.view(np.int64), first, last, place))
             for k in range(0, len(parts), 256):
                 cols = [np.concatenate(x) for x in zip(*parts[k : k + 256])]
-                yield pd.DataFrame(dict(zip(("u1", "u2", "n", "key", "seg", "first", "last"), cols)))
+                yield pd.DataFrame(dict(zip(("u1", "u2", "n", "key", "seg", "first", "last", "place"), cols)))
 
-    return units.mapInPandas(work, "u1 bigint, u2 bigint, n bigint, key bigint, seg bigint, first int, last int")
+    return units.mapInPandas(work, "u1 bigint, u2 bigint, n bigint, key bigint, seg bigint, first int, last int, place smallint")
 
 
-def _counted(units: DataFrame, q: int, length: int, text: bool) -> DataFrame:
+def _counted(units: DataFrame, q: int, length: int) -> DataFrame:
     """key and n over all pieces, summed per batch before the shuffle."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, np.ndarray] = {}
+        open_ = zstandard.ZstdDecompressor().decompress
         for b in batches:
             keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for n, data in zip(b["n"], b["data"]):
-                key, _, _ = all_pieces(data.encode("utf-8", "replace") if text else bytes(data), q, known, length)
+                key = all_pieces(open_(data), q, known, length)[0]
                 keys.append(key)
                 counts.append(np.full(len(key), n))
             key, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -139,112 +160,83 @@ def _counted(units: DataFrame, q: int, length: int, text: bool) -> DataFrame:
     return units.select("n", "data").mapInPandas(work, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def sort_columnwise(texts: list[bytes], folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """BWT and longest common prefixes of a collection, by rounds of one
-    symbol per text.  Symbols are bytes plus one, the end of a text is 0 (no
-    UTF-8 byte is 255); ends sort by the texts' order and share nothing."""
-    m = len(texts)
-    size = np.array([len(t) for t in texts])
-    flat = np.frombuffer(b"".join(texts), np.uint8) + np.uint8(1)
-    stop = np.cumsum(size)
-    count = np.zeros(256, np.int64)  # of each symbol in the transform
-    n = m
-    with Column(os.path.join(folder, "bwt"), np.uint8) as bwt_file, Column(os.path.join(folder, "lcp"), np.int16) as lcp_file:
-        first = np.where(size > 0, flat[np.maximum(stop - 1, 0)], 0).astype(np.uint8)
-        count += np.bincount(first, minlength=256)
-        bwt_file.write(first)
-        lcp_file.write(np.zeros(m + 1, np.int16))
-        at, who = np.arange(m), np.arange(m)  # where each text's newest suffix is
-        for done in range(1, int(size.max(initial=0)) + 1):
-            bwt, lcp = bwt_file.read(n), lcp_file.read(n + 1)  # one more, for reduceat
-            symbol = bwt[at]
-            by = np.lexsort((at, symbol))
-            by = by[np.count_nonzero(symbol == 0) :]
-            at, who, symbol = at[by], who[by], symbol[by]
-            order = np.argsort(bwt, kind="stable")  # occurrences of each symbol, from front to back
-            ends = np.cumsum(count)
-            found = np.empty(len(at), np.int64)
-            cuts = np.flatnonzero(np.diff(symbol)) + 1
-            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
-                begin = ends[symbol[x] - 1]
-                found[x:y] = begin + np.searchsorted(order[begin : ends[symbol[x]]], at[x:y])
-            new = m - ends[0] + found  # position after this round's insertions
-
-            # common prefixes with the suffixes before and after
-            before, after = found > ends[symbol - 1], found + 1 < ends[symbol]
-            with_before = np.zeros(len(at), np.int16)
-            with_before[before] = 1 + _least(lcp, order[found[before] - 1] + 1, at[before] + 1)
-            with_after = 1 + _least(lcp, at[after] + 1, order[found[after] + 1] + 1)
-
-            left = size[who] - done
-            fresh = np.where(left > 0, flat[np.maximum(stop[who] - done - 1, 0)], 0).astype(np.uint8)
-            old = np.ones(n + len(at) + 1, bool)
-            old[new] = False
-            out = np.empty(n + len(at), np.uint8)
-            out[old[:-1]] = bwt
-            out[new] = fresh
-            bwt_file.write(out)
-            out = np.empty(n + len(at) + 1, np.int16)
-            out[old] = lcp
-            out[new] = with_before
-            out[new[after] + 1] = with_after
-            lcp_file.write(out)
-            count += np.bincount(fresh, minlength=256)
-            n += len(at)
-            at = new
-        return bwt_file.read(n), lcp_file.read(n)
-
-
-class Column:
-    """A sequential file of numbers that each round reads and writes over."""
-
-    def __init__(self, path: str, kind: type):
-        self.path, self.kind = path, kind
-
-    def __enter__(self) -> Column:
-        self.file = os.open(self.path, os.O_RDWR | os.O_CREAT)
+class Columns:
+    """The transform and the common prefixes, column after column, in two
+    sequential files; a round reads the column before its own."""
+
+    def __init__(self, folder: str):
+        self.paths = [os.path.join(folder, x) for x in ("bwt", "lcp")]
+
+    def __enter__(self) -> Columns:
+        self.files = [open(p, "w+b") for p in self.paths]
+        self.last = 0
         return self
 
     def __exit__(self, *_: object) -> None:
-        os.close(self.file)
-
-    def write(self, numbers: np.ndarray) -> None:
-        view, at = memoryview(numbers).cast("B"), 0
-        while at < len(view):
-            at += os.pwrite(self.file, view[at:], at)
-
-    def read(self, n: int) -> np.ndarray:
-        out = np.empty(n, self.kind)
-        view, at = memoryview(out).cast("B"), 0
-        while at < len(view):
-            at += os.preadv(self.file, [view[at:]], at)
-        return out
-
-
-def _least(lcp: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Minima of lcp[low:high]."""
-    return np.minimum.reduceat(lcp, np.stack((low, high), 1).ravel())[::2] if len(low) else low.astype(lcp.dtype)
-
-
-def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each text the starts of strings that occur elsewhere among them."""
-    with tempfile.TemporaryDirectory() as folder:
-        bwt, lcp = sort_columnwise(texts, folder)
-    m, size = len(texts), np.array([len(t) for t in texts])
-    order = np.argsort(bwt, kind="stable")
-    follow = np.empty(len(bwt), np.int64)
-    follow[order] = m + np.arange(len(bwt)) - np.count_nonzero(bwt == 0)
-    shared = np.append(lcp >= length, False)
-    shared = shared[:-1] | shared[1:]
+        for f in self.files:
+            f.close()
+
+    def append(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
+        for f, x in zip(self.files, (bwt, lcp)):
+            f.write(x.tobytes())
+        self.last = len(bwt)
+
+    def read(self) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for f, kind in zip(self.files, (np.uint8, np.int16)):
+            f.seek(-self.last * np.dtype(kind).itemsize, os.SEEK_END)
+            out.append(np.frombuffer(f.read(), kind))
+        return tuple(out)
+
+
+def repeated_starts(texts: list[bytes], places: list[int], length: int = LENGTH, folder: str | None = None) -> list[np.ndarray]:
+    """For each text the starts of strings that another of the distinct texts
+    has in the same column; ``places``: the column that all texts share.
+
+    ``order`` holds the texts by their suffixes from the column on; a text that
+    ends here comes first.  The transform's column is the symbol before each
+    suffix (a byte plus one; no UTF-8 byte is 255), 0 if the text starts here.
+    A round sorts it stably, which orders the suffixes one column to the left;
+    neighbours of one symbol share one more than the least prefix between
+    their old positions."""
+    m, size, place = len(texts), np.array([len(t) for t in texts]), np.array(places)
+    flat = np.frombuffer(b"\xff" + b"".join(texts), np.uint8) + np.uint8(1)  # 255 plus one is 0
+    begin = np.cumsum(size) - size + 1 + place  # of column 0
+    low, high = -place, size - place  # columns of each text
     out = [np.zeros(max(0, s - length + 1), bool) for s in size]
-    at, who = np.arange(m), np.arange(m)
-    for done in range(1, int(size.max(initial=0)) + 1):
-        live = bwt[at] > 0
-        at, who = follow[at[live]], who[live]
-        if done >= length:
-            for w in who[shared[at]].tolist():
-                out[w][size[w] - done] = True
-    return [np.flatnonzero(x) for x in out]
+    joins: dict[int, list[int]] = {}
+    for i in np.argsort(high, kind="stable").tolist():
+        joins.setdefault(int(high[i]), []).append(i)
+    order = np.zeros(0, np.int64)
+    with tempfile.TemporaryDirectory(dir=folder) as inside, Columns(inside) as columns:
+        columns.append(np.zeros(0, np.uint8), np.zeros(0, np.int16))
+        for x in range(int(high.max(initial=0)), int(low.min(initial=0)) - 1, -1):
+            bwt, lcp = columns.read()  # of column x + 1, whose symbols are those of x
+            if len(order):
+                live = np.flatnonzero(bwt)
+                if len(live) < len(order):  # texts that started at x + 1 leave
+                    if len(live):
+                        lcp = np.minimum.reduceat(lcp[: live[-1] + 1], np.concatenate(([0], live[:-1] + 1)))
+                    order, bwt = order[live], bwt[live]
+                if len(order):
+                    by = np.argsort(bwt, kind="stable")
+                    same = np.flatnonzero(bwt[by[1:]] == bwt[by[:-1]]) + 1
+                    fresh = np.zeros(len(by), np.int16)
+                    if len(same):
+                        ends = np.stack((by[same - 1] + 1, by[same] + 1), 1).ravel()
+                        fresh[same] = 1 + np.minimum.reduceat(np.append(lcp, np.int16(0)), ends)[::2]
+                    order, lcp = order[by], fresh
+                else:
+                    lcp = np.zeros(0, np.int16)
+                near = np.append(lcp >= length, False)
+                for i in order[near[:-1] | near[1:]].tolist():
+                    out[i][x - low[i]] = True
+            if x in joins:
+                new = joins[x]
+                order = np.concatenate((np.array(new), order))
+                lcp = np.concatenate((np.zeros(len(new), np.int16), lcp if len(lcp) else np.zeros(0, np.int16)))
+            columns.append(np.where(low[order] < x, flat[begin[order] + x - 1], 0).astype(np.uint8), lcp.astype(np.int16))
+    return [np.flatnonzero(o) for o in out]
 
 
 def runs_of(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -256,75 +248,78 @@ def runs_of(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
 
 
 def _sorted(content: DataFrame, length: int) -> DataFrame:
-    """key, seg and ranges (start, stop in the piece) of pieces (key, seg, n, data)."""
+    """key, seg and ranges (start, stop in the piece) of pieces (key, seg, n, place, data)."""
 
-    def solve(batch: dict[tuple[int, int], tuple[int, bytes]]) -> pd.DataFrame:
+    def solve(batch: dict[tuple[int, int], tuple[int, int, bytes]]) -> pd.DataFrame:
         ids, rows = list(batch), list(batch.values())
-        found = repeated_starts([d for _, d in rows], length)
-        found = [np.arange(len(d) - length + 1) if n > 1 else f for (n, d), f in zip(rows, found)]
+        found = repeated_starts([d for _, _, d in rows], [p for _, p, _ in rows], length)
+        found = [np.arange(len(d) - length + 1) if n > 1 else f for (n, _, d), f in zip(rows, found)]
         ranges = [[{"start": a, "stop": b} for a, b in runs_of(f, length)] for f in found]
         return pd.DataFrame({"key": [k for k, _ in ids], "seg": [s for _, s in ids], "ranges": ranges})
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], tuple[int, bytes]] = {}
+        held: dict[tuple[int, int], tuple[int, int, bytes]] = {}
         now = None
         for b in batches:
-            for key, seg, n, data in zip(b["key"], b["seg"], b["n"], b["data"]):
+            for key, seg, n, place, data in zip(b["key"], b["seg"], b["n"], b["place"], b["data"]):
                 if key != now and len(held) >= BATCH:
                     yield solve(held)
                     held = {}
                 now = key
-                held[key, seg] = (n, bytes(data))
+                held[key, seg] = (n, place, bytes(data))
         if held:
             yield solve(held)
 
-    dealt = content.select("key", "seg", "n", "data").repartition("key").sortWithinPartitions("key", "seg")
+    dealt = content.select("key", "seg", "n", "place", "data").repartition("key").sortWithinPartitions("key", "seg")
     return dealt.mapInPandas(work, "key bigint, seg bigint, ranges array<struct<start:int,stop:int>>")
 
 
-def _fetched(reps: DataFrame, units: DataFrame, length: int, text: bool) -> DataFrame:
-    """key, seg, n, data of pieces (key, seg, n, u1, u2, first, last)."""
+def _fetched(reps: DataFrame, units: DataFrame, length: int, squeezed: bool = False) -> DataFrame:
+    """key, seg, n, place, data of pieces (key, seg, n, place, u1, u2, first, last)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor().compress
         for b in batches:
+            rows = []
             for data, wanted in zip(b["data"], b["wanted"]):
-                data = data.encode("utf-8", "replace") if text else bytes(data)
-                yield pd.DataFrame([(w["key"], w["seg"], w["n"], data[w["first"] : w["last"] + length]) for w in wanted], columns=["key", "seg", "n", "data"])
+                data = open_(data)
+                for w in wanted:
+                    piece = data[w["first"] : w["last"] + length]
+                    rows.append((w["key"], w["seg"], w["n"], w["place"], squeeze(piece) if squeezed else piece))
+                if len(rows) >= 4096:
+                    yield pd.DataFrame(rows, columns=["key", "seg", "n", "place", "data"])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "seg", "n", "place", "data"])
 
-    wanted = reps.groupBy("u1", "u2").agg(F.collect_list(F.struct("key", "seg", "n", "first", "last")).alias("wanted"))
-    return units.select("u1", "u2", "data").join(wanted, ["u1", "u2"]).select("data", "wanted").mapInPandas(work, "key bigint, seg bigint, n bigint, data binary")
+    wanted = reps.groupBy("u1", "u2").agg(F.collect_list(F.struct("key", "seg", "n", "place", "first", "last")).alias("wanted"))
+    return units.select("u1", "u2", "data").join(wanted, ["u1", "u2"]).select("data", "wanted").mapInPandas(work, "key bigint, seg bigint, n bigint, place int, data binary")
 
 
-def _repeats(units: DataFrame, level: int, length: int, anchors: tuple[int, ...], most: int, text: bool) -> DataFrame:
+def _repeats(units: DataFrame, level: int, length: int, anchors: tuple[int, ...], most: int) -> DataFrame:
     """u1, u2, start, stop of repeated byte ranges of ``units``."""
     q = anchors[level]
-    often = _counted(units, q, length, text).filter("n > 1").select("key")
-    held = cut(_anchored(units, q, length, text).join(often, "key"))
-    kinds = held.groupBy("key", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("u1", "u2", "first", "last")).alias("rep"))
+    often = _counted(units, q, length).filter("n > 1").select("key")
+    held = cut(_anchored(units, q, length).join(often, "key"))
+    kinds = held.groupBy("key", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("u1", "u2", "first", "last", "place")).alias("rep"))
     sizes = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
     kinds = cut(kinds.join(sizes, "key").select("key", "seg", "n", "kinds", "rep.*"))
     # a piece that is alone under its anchor equals all its copies
     alone = kinds.filter("kinds = 1").select("key", "seg", F.array(F.struct(F.lit(0).alias("start"), (F.col("last") - F.col("first") + length).cast("int").alias("stop"))).alias("ranges"))
-    content = cut(_fetched(kinds.filter("kinds > 1"), units, length, text).join(sizes.filter("kinds > 1"), "key"))
-    ranges = alone.unionByName(_sorted(content.filter(F.col("kinds") <= most), length))
-    dense = content.filter(F.col("kinds") > most)
+    ranges = alone.unionByName(_sorted(_fetched(kinds.filter((F.col("kinds") > 1) & (F.col("kinds") <= most)), units, length), length))
+    dense = kinds.filter(F.col("kinds") > most)
     if level + 1 < len(anchors) and not dense.isEmpty():
-        below = dense.dropDuplicates(["key", "seg"]).select(F.col("key").alias("u1"), F.col("seg").alias("u2"), "n", "data")
-        deeper = _repeats(below, level + 1, length, anchors, most, False)
+        below = cut(_fetched(dense, units, length, True).dropDuplicates(["key", "seg"]).select(F.col("key").alias("u1"), F.col("seg").alias("u2"), "n", "data"))
+        deeper = _repeats(below, level + 1, length, anchors, most)
         ranges = ranges.unionByName(deeper.groupBy("u1", "u2").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("ranges")).select(F.col("u1").alias("key"), F.col("u2").alias("seg"), "ranges"))
     told = held.join(ranges, ["key", "seg"]).select("u1", "u2", "first", F.explode("ranges").alias("r"))
     return told.select("u1", "u2", (F.col("first") + F.col("r.start")).alias("start"), (F.col("first") + F.col("r.stop")).alias("stop"))
 
 
-def _units(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.xxhash64("doc_id").alias("u1"), F.xxhash64(text).alias("u2"), F.lit(1).cast("long").alias("n"), text.alias("data"))
-
-
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = ANCHORS, most: int = MOST) -> DataFrame:
     """u1, u2 (hashes of doc_id and text) and the sorted ranges (start, stop
     in bytes; they may touch or overlap) that repeat, of rows that have any."""
-    found = _repeats(_units(docs), 0, length, anchors, most, True)
+    found = _repeats(packed(docs), 0, length, anchors, most)
     return found.groupBy("u1", "u2").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("ranges"))
 
 
@@ -342,13 +337,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ..
     """doc_id, n_bytes, spans (start, stop), kept_sha256 and, if ``with_kept``,
     the kept bytes of each row."""
     ranges = repeated_ranges(docs, length, anchors, most)
-    units = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("u1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("u2"))
+    ids = docs.select("doc_id", F.xxhash64("doc_id").alias("u1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("u2"), F.coalesce("text", F.lit("")).alias("data"))
+
+    def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        small = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            b["data"] = [small(x.encode("utf-8", "replace")) for x in b["data"]]
+            yield b
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    units = ids.mapInPandas(squeeze, f"doc_id {kind}, u1 bigint, u2 bigint, data binary")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_ = zstandard.ZstdDecompressor().decompress
         for b in batches:
             rows = []
-            for text, found in zip(b["text"], b["ranges"]):
-                data, spans = text.encode("utf-8", "replace"), merged(found)
+            for data, found in zip(b["data"], b["ranges"]):
+                data, spans = open_(data), merged(found)
                 kept, at = [], 0
                 for x, y in spans:
                     kept.append(data[at:x])
@@ -359,8 +364,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ..
             out.insert(0, "doc_id", b["doc_id"].array)
             yield out
 
-    joined = units.join(ranges, ["u1", "u2"], "left").select("doc_id", "text", "ranges")
-    return joined.mapInPandas(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, spans array<struct<start:int,stop:int>>, kept_sha256 string, kept binary")
+    joined = units.join(ranges, ["u1", "u2"], "left").select("doc_id", "data", "ranges")
+    return joined.mapInPandas(work, f"doc_id {kind}, n_bytes bigint, spans array<struct<start:int,stop:int>>, kept_sha256 string, kept binary")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
