@@ -20,9 +20,9 @@ results; an empty table gives an empty result.  Other columns play no part.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -77,9 +77,27 @@ class Vocabulary:
         return parts
 
     def pair(self, a: int, b: int) -> bool:
+        """Whether merging the characters of two pieces gives the two back:
+        no merge crosses from one to the other before both are whole."""
         key = a * len(self.pieces) + b
         if (known := self.fits.get(key)) is None:
-            known = self.fits[key] = self.merge(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
+            left, none, rank = self.pieces[a], float("inf"), self.rank.get
+            parts = [*left, *self.pieces[b]]
+            ranks = [rank(x + y, none) for x, y in zip(parts, parts[1:])]
+            border, known = len(left) - 1, True
+            while (best := min(ranks)) < none:
+                k = ranks.index(best)
+                if k == border:
+                    known = False
+                    break
+                border -= k < border
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                del ranks[k]
+                if k:
+                    ranks[k - 1] = rank(parts[k - 1] + parts[k], none)
+                if k < len(ranks):
+                    ranks[k] = rank(parts[k] + parts[k + 1], none)
+            self.fits[key] = known
         return known
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
@@ -126,40 +144,49 @@ class Vocabulary:
     def split(self, text: str) -> list[str]:
         return self.words.findall(MARK + text.replace(" ", MARK)) if text else []
 
+    def marked(self, ids: list[int]) -> bytes:
+        """The marked text that ``ids`` stand for."""
+        low, high = self.bytes_from, self.bytes_from + 256
+        return b"".join(bytes([i - low]) if low <= i < high else self.pieces[i].encode() for i in ids)
+
     def decode(self, ids: list[int]) -> str:
         """The text that ``ids`` came from."""
-        low, high = self.bytes_from, self.bytes_from + 256
-        raw = b"".join(bytes([i - low]) if low <= i < high else self.pieces[i].encode() for i in ids)
-        return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
+        return self.marked(ids).decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
 class Encoder:
-    """Encodes batch after batch and remembers words."""
+    """Encodes batch after batch; remembers words, and those that do not
+    decode to themselves.  A marked text is its words one after the other, so
+    a text decodes to itself if all its words do."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.cache = vocabulary, {}
+        self.vocabulary, self.cache, self.lost = vocabulary, {}, set()
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
+    def __call__(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """Ids of each text, and whether they decode to it."""
         split = [self.vocabulary.split(t) for t in texts]
-        fresh = {w for ws in split for w in ws if w not in self.cache}
+        words = set(chain.from_iterable(split))
+        fresh = words.difference(self.cache)
         if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache, fresh = {}, {w for ws in split for w in ws}
-        self.cache |= self.vocabulary.encode_words(sorted(fresh))
+            self.cache, self.lost, fresh = {}, set(), words
+        new = self.vocabulary.encode_words(sorted(fresh))
+        self.lost.update(w for w, ids in new.items() if self.vocabulary.marked(ids) != w.encode())
+        self.cache |= new
         cache, out = self.cache, []
         for ws in split:
             ids: list[int] = []
             for w in ws:
                 ids += cache[w]
             out.append(ids)
-        return out
+        return out, [not self.lost or self.lost.isdisjoint(ws) for ws in split]
 
 
 def clean(x: object) -> str:
     return x if isinstance(x, str) else ""
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, verify: bool = True) -> DataFrame:
-    """doc_id, ids and, if ``verify``, whether they decode to the text."""
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
+    """doc_id, ids and ``same``, whether they decode to the text."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,8 +194,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for b in batches:
             texts = [clean(x) for x in b["text"]]
             for k in range(0, len(texts), 512):
-                ids = encoder(texts[k : k + 512])
-                same = [encoder.vocabulary.decode(i) == t.replace(MARK, " ") for i, t in zip(ids, texts[k : k + 512])] if verify else None
+                ids, same = encoder(texts[k : k + 512])
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[k : k + 512].array, "ids": [np.array(i, dtype=np.int32) for i in ids], "same": same})
 
     given = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
@@ -186,10 +212,6 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInPandas(work, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def ids_digest(ids: list[int]) -> str:
-    return hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-
-
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the comma-joined ids), round_trip."""
     done = encode_documents(table(spark, sf_dir, "documents"))
