@@ -6,8 +6,6 @@ three-feature solve then runs on a row of at most ninety numbers for each refit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window

@@ -70,7 +70,7 @@ def r(c: Column | str, digits: int = 6) -> Column:
     return out.alias(name) if name else out
 
 
-def rounded(df: DataFrame, *keep: str) -> DataFrame:
+def rounded(df: DataFrame) -> DataFrame:
     """All columns, doubles rounded."""
     return df.select(*[r(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
