@@ -52,7 +52,7 @@ ANCHORS = (128, 264, 332, 366, 383, 392, 396, 398, 399, 400)
 #: Distinct pieces of one anchor that one task sorts, at most.
 MOST = 8192
 #: Pieces in a batch: no further anchor is added beyond it.
-BATCH = 4096
+BATCH = 2048
 #: A text is anchored in stretches of so many bytes.
 STRETCH = 1 << 23
 
@@ -106,9 +106,14 @@ def all_pieces(data: bytes, q: int, known: dict[str, np.ndarray], length: int =
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def unpacked(docs: DataFrame) -> DataFrame:
+    """u1, u2 (hashes of doc_id and text), n = 1 and the text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.xxhash64("doc_id").alias("u1"), F.xxhash64(text).alias("u2"), F.lit(1).cast("long").alias("n"), text.alias("data"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
-    """u1, u2 (hashes of doc_id and text), n = 1 and the text's bytes, with
-    zstd, so that shuffles are small."""
+    """The same with the text's bytes in zstd, so that shuffles are small."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -116,8 +121,7 @@ def packed(docs: DataFrame) -> DataFrame:
             b["data"] = [squeeze(x.encode("utf-8", "replace")) for x in b["data"]]
             yield b
 
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.xxhash64("doc_id").alias("u1"), F.xxhash64(text).alias("u2"), F.lit(1).cast("long").alias("n"), text.alias("data")).mapInPandas(work, "u1 bigint, u2 bigint, n bigint, data binary")
+    return unpacked(docs).mapInPandas(work, "u1 bigint, u2 bigint, n bigint, data binary")
 
 
 def _anchored(units: DataFrame, q: int, length: int) -> DataFrame:
@@ -129,7 +133,7 @@ def _anchored(units: DataFrame, q: int, length: int) -> DataFrame:
         for b in batches:
             parts = []
             for u1, u2, n, data in zip(b["u1"], b["u2"], b["n"], b["data"]):
-                data = open_(data)
+                data = data.encode("utf-8", "replace") if isinstance(data, str) else open_(data)
                 key, first, last, place = all_pieces(data, q, known, length)
                 if len(key):
                     seg = np.array([digest(data[x:y]) for x, y in zip(first.tolist(), (last + length).tolist())], dtype=np.uint64)
@@ -151,7 +155,7 @@ def _counted(units: DataFrame, q: int, length: int) -> DataFrame:
         for b in batches:
             keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for n, data in zip(b["n"], b["data"]):
-                key = all_pieces(open_(data), q, known, length)[0]
+                key = all_pieces(data.encode("utf-8", "replace") if isinstance(data, str) else open_(data), q, known, length)[0]
                 keys.append(key)
                 counts.append(np.full(len(key), n))
             key, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -296,11 +300,13 @@ def _fetched(reps: DataFrame, units: DataFrame, length: int, squeezed: bool = Fa
     return units.select("u1", "u2", "data").join(wanted, ["u1", "u2"]).select("data", "wanted").mapInPandas(work, "key bigint, seg bigint, n bigint, place int, data binary")
 
 
-def _repeats(units: DataFrame, level: int, length: int, anchors: tuple[int, ...], most: int) -> DataFrame:
-    """u1, u2, start, stop of repeated byte ranges of ``units``."""
+def _repeats(source: DataFrame, units: DataFrame, level: int, length: int, anchors: tuple[int, ...], most: int) -> DataFrame:
+    """u1, u2, start, stop of repeated byte ranges of ``units``; ``source``
+    holds the same, packed or not."""
     q = anchors[level]
-    often = _counted(units, q, length).filter("n > 1").select("key")
-    held = cut(_anchored(units, q, length).join(often, "key"))
+    # cut, so that both sides of the join are dealt anew and hot anchors can be split
+    often = cut(_counted(source, q, length).filter("n > 1").select("key"))
+    held = cut(_anchored(source, q, length).join(often, "key"))
     kinds = held.groupBy("key", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("u1", "u2", "first", "last", "place")).alias("rep"))
     sizes = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
     kinds = cut(kinds.join(sizes, "key").select("key", "seg", "n", "kinds", "rep.*"))
@@ -310,7 +316,7 @@ def _repeats(units: DataFrame, level: int, length: int, anchors: tuple[int, ...]
     dense = kinds.filter(F.col("kinds") > most)
     if level + 1 < len(anchors) and not dense.isEmpty():
         below = cut(_fetched(dense, units, length, True).dropDuplicates(["key", "seg"]).select(F.col("key").alias("u1"), F.col("seg").alias("u2"), "n", "data"))
-        deeper = _repeats(below, level + 1, length, anchors, most)
+        deeper = _repeats(below, below, level + 1, length, anchors, most)
         ranges = ranges.unionByName(deeper.groupBy("u1", "u2").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("ranges")).select(F.col("u1").alias("key"), F.col("u2").alias("seg"), "ranges"))
     told = held.join(ranges, ["key", "seg"]).select("u1", "u2", "first", F.explode("ranges").alias("r"))
     return told.select("u1", "u2", (F.col("first") + F.col("r.start")).alias("start"), (F.col("first") + F.col("r.stop")).alias("stop"))
@@ -319,7 +325,7 @@ def _repeats(units: DataFrame, level: int, length: int, anchors: tuple[int, ...]
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = ANCHORS, most: int = MOST) -> DataFrame:
     """u1, u2 (hashes of doc_id and text) and the sorted ranges (start, stop
     in bytes; they may touch or overlap) that repeat, of rows that have any."""
-    found = _repeats(packed(docs), 0, length, anchors, most)
+    found = _repeats(unpacked(docs), packed(docs), 0, length, anchors, most)
     return found.groupBy("u1", "u2").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("ranges"))
 
 
