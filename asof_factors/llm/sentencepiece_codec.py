@@ -45,6 +45,7 @@ class Vocabulary:
         own = range(bytes_from, bytes_from + 256)
         self.ids = {p: i for i, p in enumerate(pieces) if i not in special and i not in own}
         self.rank = {p: -scores[i] for p, i in self.ids.items()}
+        self.encoded = [bytes([i - bytes_from]) if i in own else p.encode() for i, p in enumerate(pieces)]
         self.fits: dict[int, bool] = {}
         lengths: dict[str, set[int]] = {}
         for p in self.ids:
@@ -146,8 +147,7 @@ class Vocabulary:
 
     def marked(self, ids: list[int]) -> bytes:
         """The marked text that ``ids`` stand for."""
-        low, high = self.bytes_from, self.bytes_from + 256
-        return b"".join(bytes([i - low]) if low <= i < high else self.pieces[i].encode() for i in ids)
+        return b"".join(map(self.encoded.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         """The text that ``ids`` came from."""
@@ -155,30 +155,26 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes batch after batch; remembers words, and those that do not
-    decode to themselves.  A marked text is its words one after the other, so
-    a text decodes to itself if all its words do."""
+    """Encodes batch after batch and remembers words."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.cache, self.lost = vocabulary, {}, set()
+        self.vocabulary, self.cache = vocabulary, {}
 
-    def __call__(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """Ids of each text, and whether they decode to it."""
+    def __call__(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
+        """Ids of each text, and the text that they decode to."""
         split = [self.vocabulary.split(t) for t in texts]
         words = set(chain.from_iterable(split))
         fresh = words.difference(self.cache)
         if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache, self.lost, fresh = {}, set(), words
-        new = self.vocabulary.encode_words(sorted(fresh))
-        self.lost.update(w for w, ids in new.items() if self.vocabulary.marked(ids) != w.encode())
-        self.cache |= new
+            self.cache, fresh = {}, words
+        self.cache |= self.vocabulary.encode_words(sorted(fresh))
         cache, out = self.cache, []
         for ws in split:
             ids: list[int] = []
             for w in ws:
                 ids += cache[w]
             out.append(ids)
-        return out, [not self.lost or self.lost.isdisjoint(ws) for ws in split]
+        return out, [self.vocabulary.decode(ids) for ids in out]
 
 
 def clean(x: object) -> str:
@@ -186,7 +182,8 @@ def clean(x: object) -> str:
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """doc_id, ids and ``same``, whether they decode to the text."""
+    """doc_id, ids, ``same`` (whether they decode to the text with its marks
+    U+2581 read as spaces) and ``round_trip`` (whether to the text itself)."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,11 +191,13 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for b in batches:
             texts = [clean(x) for x in b["text"]]
             for k in range(0, len(texts), 512):
-                ids, same = encoder(texts[k : k + 512])
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[k : k + 512].array, "ids": [np.array(i, dtype=np.int32) for i in ids], "same": same})
+                part = texts[k : k + 512]
+                ids, back = encoder(part)
+                same = [d == t.replace(MARK, " ") for d, t in zip(back, part)]
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[k : k + 512].array, "ids": [np.array(i, dtype=np.int32) for i in ids], "same": same, "round_trip": [d == t for d, t in zip(back, part)]})
 
     given = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
-    return given.mapInPandas(work, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, ids array<int>, same boolean")
+    return given.mapInPandas(work, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, ids array<int>, same boolean, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -215,4 +214,4 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the comma-joined ids), round_trip."""
     done = encode_documents(table(spark, sf_dir, "documents"))
-    return done.selectExpr("doc_id", "CAST(size(ids) AS bigint) AS n_pieces", "sha2(array_join(transform(ids, x -> CAST(x AS string)), ','), 256) AS ids_sha256", "same AS round_trip")
+    return done.selectExpr("doc_id", "CAST(size(ids) AS bigint) AS n_pieces", "sha2(array_join(transform(ids, x -> CAST(x AS string)), ','), 256) AS ids_sha256", "round_trip")
