@@ -4,12 +4,11 @@ Each page becomes a sequence of text nodes with their root-to-leaf tag paths.
 Text length and punctuation are summed per path and divided by the path's
 number of nodes; both ratios are smoothed over the page with a Gaussian,
 fused by their product, and the paths whose smoothed score passes the
-threshold name the content nodes.  The element that holds most of their score
-is the main text's container: an article or main element if it has it, else
-the deepest element that still holds most of it.  Inside the container every
-node stays but those of boilerplate elements (by tag, role, class or id);
-outside article and main, a block must besides lie on a content path or not
-be mostly links.
+threshold name the content nodes.  Every block on a content path is main text
+wherever it stands, but those of boilerplate elements (by tag, role, class or
+id).  Article and main elements with content keep all their blocks; without
+them, the innermost element around all content adds its blocks that are not
+mostly links.
 
 Defined results: null and empty pages have no text; unclosed tags and comments
 end with the page; repeated rows give repeated results; a page without
@@ -32,8 +31,6 @@ from .common import table
 SIGMA, RADIUS = 1.0, 2
 #: Threshold, as a share of the standard deviation of the smoothed scores.
 LAMBDA = 0.5
-#: Share of the score that a container must hold.
-HOLD = 0.6
 
 # Fixed values of the markup language.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -166,50 +163,38 @@ def extract(source: str | None) -> str:
     fused, least = path_scores(page, len(page.path_of) + 1)
     good_paths = {n[0] for n, s in zip(page.nodes, fused) if s > 0 and s >= least}
     mass = np.zeros(len(page.tags))
-    for n, s in zip(page.nodes, fused):
+    for n in page.nodes:
         if n[0] in good_paths:
-            mass[n[1]] += len(n[3]) * (not n[4])
+            mass[n[1]] += len(n[3].strip()) * (not n[4])
     for k in range(len(mass) - 1, 0, -1):
         mass[page.parents[k]] += mass[k]
-    named = [k for k, t in enumerate(page.tags) if t in ("article", "main") and not page.boiler[k] and mass[k] > 0]
+    # containers: article and main elements, and the innermost element around all content
+    roots, at = {k for k, t in enumerate(page.tags) if t in ("article", "main") and not page.boiler[k] and mass[k] > 0}, 0
+    for k in range(1, len(mass)):  # parents come before their children
+        if page.parents[k] == at and mass[k] == mass[0] > 0:
+            at = k
+    named = np.zeros(len(mass), dtype=bool)
     inside = np.zeros(len(mass), dtype=bool)
-    if named and sum(mass[k] for k in named if not _has(page, k, named)) >= HOLD * mass[0]:
-        articles = [k for k in named if page.tags[k] == "article"]
-        held = sum(mass[k] for k in articles if not _has(page, k, articles))
-        roots = set(articles if held >= HOLD * mass[0] else named)
-    else:
-        named, at, best = [], 0, 0
-        for k in range(1, len(mass)):  # parents come before their children
-            if page.parents[k] == at and mass[k] >= HOLD * mass[0] > 0:
-                at = best = k
-        roots = {best}
     for k in range(len(mass)):
-        inside[k] = k in roots or k > 0 and inside[page.parents[k]]
+        named[k] = k in roots or k > 0 and named[page.parents[k]]
+        inside[k] = named[k] or not roots and k == at or k > 0 and inside[page.parents[k]]
 
-    blocks: dict[int, list[tuple[int, str, bool]]] = {}
+    blocks: dict[int, list[tuple[int, int, str, bool]]] = {}
     for n in page.nodes:
-        if inside[n[1]] and not n[4]:
-            blocks.setdefault(n[2], []).append((n[0], n[3], n[5]))
+        if not n[4]:
+            blocks.setdefault(n[2], []).append((n[0], n[1], n[3], n[5]))
     out = []
     for parts in blocks.values():
-        linked = sum(len(t) for _, t, a in parts if a)
-        if not named and not any(p in good_paths for p, _, _ in parts) and 2 * linked > sum(len(t.strip()) for _, t, _ in parts):
+        linked = sum(len(t) for _, _, t, a in parts if a)
+        good = any(p in good_paths and t.strip() for p, _, t, _ in parts)
+        prose = 2 * linked <= sum(len(t.strip()) for _, _, t, _ in parts)
+        if not (good or any(named[k] for _, k, _, _ in parts) or prose and any(inside[k] for _, k, _, _ in parts)):
             continue
-        if text := SPACES.sub(" ", html_lib.unescape("".join(t for _, t, _ in parts))).strip():
+        if text := SPACES.sub(" ", html_lib.unescape("".join(t for _, _, t, _ in parts))).strip():
             out.append(text)
     return "\n".join(out)
 
 
-def _has(page: Page, k: int, named: list[int]) -> bool:
-    """Whether one of ``named`` lies around element k."""
-    around, k = set(named), page.parents[k]
-    while k > 0:
-        if k in around:
-            return True
-        k = page.parents[k]
-    return False
-
-
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text of each row of ``pages``."""
 
