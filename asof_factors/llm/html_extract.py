@@ -2,18 +2,18 @@
 
 Each page becomes a sequence of text nodes with their root-to-leaf tag paths.
 Text length and punctuation are summed per path and divided by the path's
-number of nodes; both ratios are smoothed over the page with a Gaussian,
-fused by their product, and the paths whose smoothed score passes the
-threshold name the content nodes.  Every block on a content path is main text
-wherever it stands, but those of boilerplate elements (by tag, role, class or
-id).  Article and main elements with content keep all their blocks; without
-them, the innermost element around all content adds its blocks that are not
-mostly links.
+number of nodes; both ratios are smoothed over the page with a Gaussian and
+fused by their geometric mean.  What the markup says about a path is a feature of its
+score, not a rule: the share of the path's text that is linked lowers it, and
+elements that name main text or boilerplate (by tag, role, class or id)
+weight it.  The paths whose score reaches a share of the score of the page's
+mean character are content nodes, and the blocks that hold any of them are the
+main text, wherever they stand.
 
 Defined results: null and empty pages have no text; unclosed tags and comments
-end with the page; repeated rows give repeated results; a page without
-content paths gives the text that is not boilerplate.  An empty table gives
-an empty result.  Other columns play no part.
+end with the page; repeated rows give repeated results; a page without any
+text node that scores gives an empty text.  An empty table gives an empty
+result.  Other columns play no part.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 SIGMA, RADIUS = 1.0, 2
-#: Threshold, as a share of the standard deviation of the smoothed scores.
-LAMBDA = 0.5
+#: Threshold, as a share of the score of the page's mean character.
+LAMBDA = 0.005
+#: Weights of paths through elements that name main text, or boilerplate.
+MAIN, BOILER = 30.0, 1e-5
 
 # Fixed values of the markup language.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -76,12 +78,13 @@ def _boiler(tag: str, attrs: str, inside: bool) -> bool:
 
 
 class Page:
-    """Text nodes of a page: path, element, block, text, whether it is boilerplate or linked."""
+    """Text nodes of a page: path, block, text, whether it is linked; and for
+    each path whether it runs through boilerplate or main elements."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.boiler = ["#root"], [-1], [False]
-        self.path_of: dict[tuple[int, str], int] = {}
-        self.nodes: list[tuple[int, int, int, str, bool, bool]] = []
+        self.tags, self.boiler = ["#root"], [False]
+        self.path_of: dict[tuple[int, str, bool, bool], int] = {}
+        self.nodes: list[tuple[int, int, str, bool]] = []
         stack, paths = [0], [0]
         open_: dict[str, int] = {}
         block = main = links = at = 0
@@ -96,7 +99,7 @@ class Page:
 
         def text(raw: str) -> None:
             if raw:
-                self.nodes.append((paths[-1], stack[-1], block, raw, self.boiler[stack[-1]], links > 0))
+                self.nodes.append((paths[-1], block, raw, links > 0))
 
         for m in TOKEN.finditer(source):
             text(source[at : m.start()])
@@ -129,28 +132,32 @@ class Page:
                         while len(stack) > k:
                             pop()
             self.tags.append(tag)
-            self.parents.append(stack[-1])
             self.boiler.append(self.boiler[stack[-1]] or _boiler(tag, m["attrs"], main > 0))
-            paths.append(self.path_of.setdefault((paths[-1], tag), len(self.path_of) + 1))
+            main += tag in ("article", "main")
+            paths.append(self.path_of.setdefault((paths[-1], tag, self.boiler[-1], main > 0), len(self.path_of) + 1))
             stack.append(len(self.tags) - 1)
             open_[tag] = open_.get(tag, 0) + 1
-            main += tag in ("article", "main")
             links += tag == "a"
         text(source[at:])
 
 
-def path_scores(page: Page, n_paths: int) -> tuple[np.ndarray, float]:
-    """Smoothed and fused ratio of each node, and the threshold."""
+def path_scores(page: Page) -> tuple[np.ndarray, float]:
+    """Weighted, smoothed and fused ratio of each node, and the threshold."""
     path = np.array([n[0] for n in page.nodes], dtype=np.int64)
-    length = np.array([0.0 if n[4] else len(n[3].strip()) for n in page.nodes])
-    punct = np.array([0.0 if n[4] else len(PUNCT.findall(n[3])) for n in page.nodes])
-    count = np.maximum(np.bincount(path, minlength=n_paths), 1)
-    text_ratio = (np.bincount(path, length, n_paths) / count)[path]
-    punct_ratio = (np.bincount(path, punct, n_paths) / count)[path]
+    length = np.array([len(n[2].strip()) for n in page.nodes], dtype=float)
+    punct = np.array([len(PUNCT.findall(n[2])) for n in page.nodes], dtype=float)
+    linked = np.array([n[3] for n in page.nodes])
+    weight = np.array([1.0, *((BOILER if boiler else MAIN if main else 1.0) for _, _, boiler, main in page.path_of)])
+    n_paths = len(weight)
+    total = np.bincount(path, length, n_paths)
+    prose = 1 - np.bincount(path, length * linked, n_paths) / np.maximum(total, 1)
+    weight = weight * np.maximum(prose, 0.05)
+    count = np.maximum(np.bincount(path, length > 0, n_paths), 1)
     kernel = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
     smooth = lambda x: np.convolve(np.pad(x, RADIUS), kernel / kernel.sum(), "valid")
-    fused = np.where(length > 0, smooth(text_ratio) * (1 + smooth(punct_ratio)), 0.0)
-    return fused, LAMBDA * float(fused.std())
+    text_ratio, punct_ratio = smooth((total / count)[path]), smooth((np.bincount(path, punct, n_paths) / count)[path])
+    fused = np.where(length > 0, np.sqrt(text_ratio * (1 + punct_ratio)) * weight[path], 0.0)
+    return fused, LAMBDA * float((fused * length).sum() / max(1.0, length.sum()))
 
 
 def extract(source: str | None) -> str:
@@ -160,38 +167,19 @@ def extract(source: str | None) -> str:
     page = Page(source)
     if not page.nodes:
         return ""
-    fused, least = path_scores(page, len(page.path_of) + 1)
-    good_paths = {n[0] for n, s in zip(page.nodes, fused) if s > 0 and s >= least}
-    mass = np.zeros(len(page.tags))
-    for n in page.nodes:
-        if n[0] in good_paths:
-            mass[n[1]] += len(n[3].strip()) * (not n[4])
-    for k in range(len(mass) - 1, 0, -1):
-        mass[page.parents[k]] += mass[k]
-    # containers: article and main elements, and the innermost element around all content
-    roots, at = {k for k, t in enumerate(page.tags) if t in ("article", "main") and not page.boiler[k] and mass[k] > 0}, 0
-    for k in range(1, len(mass)):  # parents come before their children
-        if page.parents[k] == at and mass[k] == mass[0] > 0:
-            at = k
-    named = np.zeros(len(mass), dtype=bool)
-    inside = np.zeros(len(mass), dtype=bool)
-    for k in range(len(mass)):
-        named[k] = k in roots or k > 0 and named[page.parents[k]]
-        inside[k] = named[k] or not roots and k == at or k > 0 and inside[page.parents[k]]
-
-    blocks: dict[int, list[tuple[int, int, str, bool]]] = {}
-    for n in page.nodes:
-        if not n[4]:
-            blocks.setdefault(n[2], []).append((n[0], n[1], n[3], n[5]))
+    fused, least = path_scores(page)
+    scores: dict[int, float] = {}
+    for n, s in zip(page.nodes, fused.tolist()):
+        scores[n[0]] = max(s, scores.get(n[0], 0.0))
+    content = {p for p, s in scores.items() if s > 0 and s >= least}
+    blocks: dict[int, list[tuple[int, str]]] = {}
+    for path, block, text, _ in page.nodes:
+        blocks.setdefault(block, []).append((path, text))
     out = []
     for parts in blocks.values():
-        linked = sum(len(t) for _, _, t, a in parts if a)
-        good = any(p in good_paths and t.strip() for p, _, t, _ in parts)
-        prose = 2 * linked <= sum(len(t.strip()) for _, _, t, _ in parts)
-        if not (good or any(named[k] for _, k, _, _ in parts) or prose and any(inside[k] for _, k, _, _ in parts)):
-            continue
-        if text := SPACES.sub(" ", html_lib.unescape("".join(t for _, _, t, _ in parts))).strip():
-            out.append(text)
+        if any(p in content and t.strip() for p, t in parts):
+            if text := SPACES.sub(" ", html_lib.unescape("".join(t for _, t in parts))).strip():
+                out.append(text)
     return "\n".join(out)
 
 
