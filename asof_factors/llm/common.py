@@ -16,17 +16,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    Where it is unset, a local master (tests) gets a temporary folder, and a
+    cluster an error, as its executors could not read such a folder."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if found:
+        return found
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+    return spark.conf.get("spark.checkpoint.dir")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that the cluster
-    shares (``spark.checkpoint.dir``).  Where it is unset, as in tests, a
-    temporary folder takes its place."""
+    """Cut the lineage with a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``docs`` has."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(docs: DataFrame) -> list[str]:
+    """Its columns, for select()."""
+    return [f"`{c.replace('`', '``')}`" for c in docs.columns]
+
+
+def text_hash(c: Column | str = "text") -> Column:
+    """With the id, the key of a row: 64-bit hash of its text (null: empty)."""
+    return F.xxhash64(F.coalesce(c, F.lit("")))
+
+
+def of_row(docs: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined with ``facts`` of rows, whose first two columns are the
+    doc_id and the text hash; the other columns must be free."""
+    own, key = free(docs, "row_id", "row_hash")
+    facts = facts.withColumnsRenamed(dict(zip(facts.columns, (own, key))))
+    joined = docs.join(facts, docs["doc_id"].eqNullSafe(facts[own]) & (text_hash(docs["text"]) == facts[key]), how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(own, key)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; other letters keep their case."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
