@@ -1,11 +1,16 @@
 """Benchmark decontamination in DataFrame operations only.
 
 Every run of ten normalised words of a benchmark item is a window (a shorter
-item is one window).  A bitmap of window hashes, of a fixed size whatever the
-benchmark's, travels with the plan and names candidate positions while the
-document is scanned; the window texts at those positions are then verified by
-an exact join with the window table, which is broadcast while it is below a
-checked size and shuffled beyond it.
+item is one window).  The set of the windows' 64-bit hashes is broadcast while
+their number is below a checked limit; while a document is scanned, the hash of
+the window at each of its words is looked up in the set, and a hit is verified
+by comparing the words themselves.  Beyond the limit the windows of the
+documents are dealt out by hash instead, and candidates verified the same.
+Windows hit many times are no hot keys: items are looked up once for each
+document and window.
+
+``drop_contaminated`` removes documents; ``remove_spans`` cuts the hit words
+out of the original text, which otherwise stays as it is.
 
 Defined results: null and empty texts have no words and no hits; a window
 inside several items counts for each of them; repeated rows give repeated
@@ -16,17 +21,17 @@ table play no part.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, sha, table
+from .common import ascii_lower, cut, free, of_row, quoted, sha, table, text_hash
 
 WORDS = 10
 #: Separators between words: ASCII but digits and letters.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The bitmap has 2 ** BITS bits (1 MB as longs).
-BITS = 20
-#: Windows are broadcast up to this many characters of text.
+#: Window hashes are broadcast up to so many (about 40 bytes each).
+BROADCAST_WINDOWS = 2_000_000
+#: Window texts and items are broadcast up to this many characters of text.
 BROADCAST_CHARS = 64_000_000
 
 
@@ -43,48 +48,46 @@ def windows_of(benchmark: DataFrame, size: int = WORDS) -> DataFrame:
     return each.groupBy("window", "k").agg(F.collect_set("item_id").alias("items"))
 
 
-def _slot(window: Column) -> Column:
-    return F.pmod(F.xxhash64(window), F.lit(1 << BITS))
+def window_hash(hashes: Column) -> Column:
+    """Of the hashes of a window's words."""
+    return F.xxhash64(hashes)
+
 
+def hashes_of(words: Column) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFrame:
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, most: int = BROADCAST_WINDOWS) -> DataFrame:
     """For each row of ``docs``: doc_id, text_hash (with doc_id the row's
     key), n_words, hits (start, words; sorted) and items (ids, as strings,
     sorted)."""
-    windows = cut(windows_of(benchmark, size))
-    facts = windows.agg(F.collect_set("k").alias("ks"), F.coalesce(F.sum(F.char_length("window")), F.lit(0)).alias("chars")).first()
-    # at most 2 ** (BITS - 6) longs, whatever the benchmark's size
-    filled = windows.select(_slot(F.split("window", " ")).alias("s")).groupBy((F.col("s") / 64).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 64).cast("int"))).alias("v"))
-    longs = [0] * (1 << (BITS - 6))
-    for i, v in filled.collect():
-        longs[i] = v
-    bitmap = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
-
-    base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words_of(F.col("text")).alias("w"))
-    found = [_candidates(k, bitmap) for k in sorted(facts["ks"])]
-    base = cut(base.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.concat(*found) if found else F.lit(None).cast("array<struct<start:int,k:int,window:string>>")).toDF("doc_id", "text_hash", "n_words", "found"))
-    each = base.filter(F.size("found") > 0).select("doc_id", "text_hash", F.explode("found").alias("f")).select("doc_id", "text_hash", "f.*")
+    windows = cut(windows_of(benchmark, size).withColumn("h", window_hash(hashes_of(F.split("window", " ")))))
+    facts = windows.agg(F.sort_array(F.collect_set("k")).alias("ks"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.char_length("window")), F.lit(0)).alias("chars")).first()
+    near = windows.select(F.col("h").alias("wh"), F.col("k").alias("wk")).distinct()
+    near = F.broadcast(near) if facts["n"] <= most else near
+
+    given = docs.select("doc_id", text_hash().alias("text_hash"), words_of(F.col("text")).alias("w"))
+    base = given.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"))
+    scanned = given.withColumn("hw", hashes_of(F.col("w")))
+    at = F.concat(*[_windows_at(k) for k in facts["ks"]]) if facts["ks"] else F.array().cast("array<struct<start:int,k:int,h:bigint>>")
+    each = scanned.select("doc_id", "text_hash", "w", F.explode(at).alias("at"))
+    found = each.join(near, (F.col("at.h") == F.col("wh")) & (F.col("at.k") == F.col("wk")))
+    found = cut(found.select("doc_id", "text_hash", "at.start", "at.k", F.array_join(F.slice("w", F.col("at.start"), F.col("at.k")), " ").alias("window")))
+
     side = windows.select("window", "items")
     side = F.broadcast(side) if facts["chars"] <= BROADCAST_CHARS else side
-    hits = (
-        each.join(side, "window")
-        .groupBy("doc_id", "text_hash")
-        .agg(
-            F.array_sort(F.collect_set(F.struct("start", "k"))).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("items", lambda x: x.cast("string")))))).alias("items"),
-        )
-    )
-    hits = hits.toDF("__id", "__hash", "hits", "items")
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    once = found.groupBy("doc_id", "text_hash", "window").agg(F.collect_set(F.struct("start", "k")).alias("places")).join(side, "window")
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("items", lambda x: x.cast("string"))))))
+    hits = once.groupBy("doc_id", "text_hash").agg(F.array_sort(F.flatten(F.collect_set("places"))).alias("hits"), items.alias("items"))
     none = F.array().cast("array<struct<start:int,k:int>>"), F.array().cast("array<string>")
-    return base.join(hits, on, "left").select("doc_id", "text_hash", "n_words", F.coalesce("hits", none[0]).alias("hits"), F.coalesce("items", none[1]).alias("items"))
+    hits = hits.toDF("i", "t", "hits", "items")
+    joined = base.join(hits, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("t")), "left")
+    return joined.select("doc_id", "text_hash", "n_words", F.coalesce("hits", none[0]).alias("hits"), F.coalesce("items", none[1]).alias("items"))
 
 
-def _candidates(k: int, bitmap: Column) -> Column:
+def _windows_at(k: int) -> Column:
     starts = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
-    at = lambda i: _slot(F.slice("w", i, k))
-    near = F.filter(starts, lambda i: F.getbit(F.get(bitmap, (at(i) / 64).cast("int")), (at(i) % 64).cast("int")) == 1)
-    return F.transform(near, lambda i: F.struct(i.alias("start"), F.lit(k).alias("k"), F.array_join(F.slice("w", i, k), " ").alias("window")))
+    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(k).alias("k"), window_hash(F.slice("hw", i, k)).alias("h")))
 
 
 def covered(hits: Column) -> Column:
@@ -101,20 +104,44 @@ def covered(hits: Column) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFrame:
     """The rows of ``docs`` without any hit, with their columns."""
-    bad = find_hits(docs, benchmark, size).filter(F.size("hits") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
-    return docs.join(bad, on, "left_anti")
+    bad = find_hits(docs, benchmark, size).filter(F.size("hits") > 0).select("doc_id", "text_hash").distinct()
+    return of_row(docs, bad, "left_anti")
+
+
+def runs_of(found: DataFrame) -> DataFrame:
+    """doc_id, text_hash and ``runs``: the hits of each row as disjoint runs of
+    words (first, last), sorted."""
+    rows = found.select("doc_id", "text_hash", "hits").dropDuplicates(["doc_id", "text_hash"])
+    each = rows.select("doc_id", "text_hash", F.explode("hits").alias("h")).select("doc_id", "text_hash", F.col("h.start").alias("first"), (F.col("h.start") + F.col("h.k") - 1).alias("last"))
+    row = Window.partitionBy("doc_id", "text_hash").orderBy("first", "last")
+    before = F.max("last").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    run = F.sum(F.when(before >= F.col("first") - 1, 0).otherwise(1)).over(row)
+    merged = each.withColumn("run", run).groupBy("doc_id", "text_hash", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return merged.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+
+
+def cut_words(text: Column, runs: Column) -> Column:
+    """The text without the words of the runs and what lies between them; each
+    piece that is left keeps its letters, case and punctuation."""
+    # text before the first word, then each word with what follows it; in the
+    # original text, A-Z belong to words
+    between = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    lead = F.regexp_extract(text, rf"\A{between}", 0)
+    words = F.regexp_extract_all(text, F.lit(rf"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:{between})?"), F.lit(0))
+    before = F.transform(runs, lambda r, i: F.coalesce(F.get(runs, i - 1)["last"], F.lit(0)))
+    kept = F.transform(F.arrays_zip(before.alias("after"), runs["first"].alias("until")), lambda x: F.array_join(F.slice(words, x["after"] + 1, x["until"] - x["after"] - 1), ""))
+    final = F.element_at(runs, -1)["last"]
+    rest = F.array_join(F.slice(words, final + 1, F.greatest(F.size(words) - final, F.lit(0))), "")
+    return F.concat(lead, F.array_join(kept, ""), rest)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WORDS) -> DataFrame:
-    """``docs`` with the words of every hit taken out of ``text``; what is
-    left keeps its words, in lower case, joined by spaces.  Clean rows keep
-    their text."""
-    bad = find_hits(docs, benchmark, size).filter(F.size("hits") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("hits").alias("__hits")).dropDuplicates(["__id", "__hash"])
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
-    gone = F.flatten(F.transform("__hits", lambda h: F.sequence(h["start"], h["start"] + h["k"] - 1)))
-    left = F.array_join(F.map_values(F.map_filter(F.map_from_arrays(F.sequence(F.lit(1), F.size(words_of(F.col("text")))), words_of(F.col("text"))), lambda i, _: ~F.array_contains(gone, i))), " ")
-    return docs.join(bad, on, "left").withColumn("text", F.when(F.col("__hits").isNull(), F.col("text")).otherwise(left)).select(*[f"`{c}`" for c in docs.columns])
+    """``docs`` with the words of every hit cut out of ``text``; all other
+    text and the clean rows stay as they are."""
+    (name,) = free(docs, "runs")
+    runs = runs_of(find_hits(docs, benchmark, size).filter(F.size("hits") > 0)).withColumnRenamed("runs", name)
+    left = cut_words(F.col("text"), F.col(name))
+    return of_row(docs, runs, "left").withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(left)).select(*quoted(docs))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
