@@ -1,21 +1,27 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 A rule is a regular expression over ``host + path`` with the literal tokens
-that any match must hold whole.  Token counts over all URLs name each rule's
-rarest token; the tokens of a URL fetch the rules filed under them, and only
-those rules run their regular expression.  The rule index is joined by
-broadcast while the rule list is below a checked length.
+that any match must hold whole.  Token counts over all URLs (of tokens that
+rules hold) name each rule's rarest token; the tokens of a URL fetch the rules
+filed under them, and only those rules run their regular expression.
+
+Up to INLINE_RULES rules the index is a hash table of constants in the plan:
+a page is judged where it is read, without join or shuffle.  Beyond, the index
+is a table joined on token (by broadcast while it is below a checked length),
+and only URLs with a token of the index take part in the join.
 
 Defined results: a null URL or one without ``://`` has an empty host and path
-and no rule; repeated rows give repeated results; of rules that fit, the
-longest wins, then the first in text order.  Host and path rules come before
-pattern rules; a URL that no rule fits is allowed.  Other columns of the
-table play no part.
+and no rule; repeated rows give repeated results; of rules that fit, those of
+the highest rank win, then the longest, then the last in text order.  A URL
+that no rule fits is allowed.  An empty table gives an empty result.  Other
+columns of the table play no part.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, table
 
-BROADCAST_RULES = 200_000
+INLINE_RULES, BROADCAST_RULES = 5_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -56,8 +62,10 @@ SITE_RULES = [
     site_rule("block", "example.net", "/de/8"),
     site_rule("block", "org", "/es/"),
 ]
-#: The method's own rules, for hosts that sell what no corpus wants.
-PATTERN_RULES = [pattern_rule("block", x) for x in ("adult-x", "casino-win", "free-bets", "spam-farm", "adult", "casino", "porn", "xxx", "bets", "spam")]
+#: What hosts sell that no corpus wants, alone or with a second word.
+SOLD = ("adult", "bets", "bingo", "camgirls", "cams", "casino", "cialis", "erotic", "escort", "escorts", "fetish", "gambling", "hentai", "hookup", "jackpot", "milf", "nude", "nudes", "payday", "poker", "porn", "porno", "replica", "roulette", "sex", "slots", "spam", "spins", "viagra", "warez", "webcam", "xxx")
+WITH = ("best", "bonus", "buy", "cheap", "club", "deal", "deals", "farm", "free", "girls", "hot", "live", "mega", "now", "online", "play", "shop", "site", "store", "top", "tube", "video", "videos", "vip", "win", "world", "x", "zone")
+PATTERN_RULES = [pattern_rule("block", x) for a in SOLD for x in (a, *(f"{a}-{b}" for b in WITH), *(f"{b}-{a}" for b in WITH))]
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -71,29 +79,63 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.split(F.lower(F.concat(host, path)), "[^0-9a-z]+"))
 
 
-def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
-    """page_id, url, host, path, rule (name), rank and verdict of each row."""
-    spark = pages.sparkSession
+def token_counts(urls: DataFrame, rules: list[Rule]) -> dict[str, int]:
+    """In how many URLs each token of the rules occurs (one row a token)."""
+    known = sorted({t for r in rules for t in r.tokens})
+    held = F.filter("tokens", lambda t: t.isin(known))
+    return {r.token: r["n"] for r in urls.select(F.explode(held).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow", inline: int = INLINE_RULES) -> DataFrame:
+    """page_id, url, host, path, rule (name), rank, verdict and n_run (how many
+    rules ran their regular expression) of each row."""
     if bad := [r.name for r in rules if not r.tokens]:
         raise ValueError(f"rules without a literal token cannot be indexed: {bad}")
-    rows = pages.groupBy(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).agg(F.count(F.lit(1)).alias("copies"))
     host, path = split_url(F.col("url"))
-    urls = rows.select("page_id", "url", "copies", host.alias("host"), path.alias("path"))
+    urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).withColumns({"host": host, "path": path})
     urls = urls.withColumn("tokens", tokens_of(F.col("host"), F.col("path")))
-
+    if len(rules) <= inline:
+        counts = token_counts(urls, rules)
+        filed = [(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), r) for r in rules]
+        found = urls.select("page_id", "url", "host", "path", _by_constants(filed).alias("fetched"))
+        fits = F.filter("fetched", lambda r: F.rlike(F.concat("host", "path"), r["regex"]))
+        best = F.array_max(F.transform(fits, lambda r: F.struct(r["rank"].alias("rank"), F.char_length(r["name"]).alias("size"), r["name"].alias("name"), r["action"].alias("action"))))
+        found = found.select("page_id", "url", "host", "path", F.size("fetched").alias("n_run"), best.alias("best"))
+    else:
+        found = _by_join(urls, rules)
+    return found.select("page_id", "url", "host", "path", F.col("best.name").alias("rule"), F.col("best.rank").alias("rank"), F.coalesce("best.action", F.lit(default)).alias("verdict"), F.col("n_run").cast("long").alias("n_run"))
+
+
+def _by_constants(filed: list[tuple[str, Rule]]) -> Column:
+    """The rules filed under a URL's tokens, from a hash table of constants."""
+    kind = "array<array<struct<token:string,name:string,action:string,regex:string,rank:int>>>"
+    size = max(1, 2 * len({t for t, _ in filed}))
+    slots: list[list[dict]] = [[] for _ in range(size)]
+    for t, r in filed:
+        slots[_slot(t, size)].append({"token": t, "name": r.name, "action": r.action, "regex": r.regex, "rank": r.rank})
+    table_ = F.from_json(F.lit(json.dumps({"s": slots})), f"struct<s:{kind}>")["s"]
+    return F.flatten(F.transform("tokens", lambda t: F.filter(F.get(table_, F.pmod(F.crc32(t.cast("binary")), F.lit(size)).cast("int")), lambda r: r["token"] == t)))
+
+
+def _slot(token: str, size: int) -> int:
+    return zlib.crc32(token.encode()) % size
+
+
+def _by_join(urls: DataFrame, rules: list[Rule]) -> DataFrame:
+    """page_id, url, host, path, n_run and best, for rule lists of any size."""
+    spark = urls.sparkSession
+    small = F.broadcast if len(rules) <= BROADCAST_RULES else (lambda x: x)
     pairs = spark.createDataFrame([(n, t) for n, r in enumerate(rules) for t in r.tokens], "rule int, token string")
     names = spark.createDataFrame([(n, r.name, r.action, r.regex, r.rank) for n, r in enumerate(rules)], "rule int, name string, action string, regex string, rank int")
-    small = F.broadcast if len(rules) <= BROADCAST_RULES else (lambda x: x)
     counts = urls.select(F.explode("tokens").alias("token")).join(small(pairs.select("token").distinct()), "token").groupBy("token").count()
     rarest = pairs.join(counts, "token", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
     index = rarest.join(names, "rule").select("token", "name", "action", "regex", "rank")
-
-    each = urls.select("page_id", "url", "copies", "host", "path", F.explode("tokens").alias("token"))
+    # a row's own number: it is dealt where it is read, before any shuffle
+    rows = urls.withColumn("row", F.monotonically_increasing_id())
+    each = rows.select("row", "page_id", "url", "host", "path", F.explode("tokens").alias("token"))
     fits = F.rlike(F.concat("host", "path"), F.col("regex"))
     best = F.when(fits, F.struct("rank", F.char_length("name").alias("size"), "name", "action"))
-    found = each.join(small(index), "token", "left").groupBy("page_id", "url").agg(*[F.first(c).alias(c) for c in ("copies", "host", "path")], F.max(best).alias("best"))
-    verdict = F.coalesce("best.action", F.lit(default))
-    return found.select("page_id", "url", "host", "path", F.col("best.name").alias("rule"), F.col("best.rank").alias("rank"), verdict.alias("verdict"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
+    return each.join(small(index), "token", "left").groupBy("row").agg(*[F.first(c).alias(c) for c in ("page_id", "url", "host", "path")], F.count("name").alias("n_run"), F.max(best).alias("best")).drop("row")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +144,8 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_SITE = ", ".join(f"('{r.name.partition('/')[0]}', '/{r.name.partition('/')[2]}', '{r.action}')" for r in SITE_RULES)
-_SQL_PATTERN = "|".join(r.name.strip("*") for r in PATTERN_RULES)
+# a host that holds a pair of words holds its first one too
+_SQL_PATTERN = "|".join(SOLD)
 SQL = rf"""
 WITH u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^([^?#]*)', 1) ELSE '' END AS rest
