@@ -1,18 +1,21 @@
 """Toxicity scores of deobfuscated text.
 
-A character trigram model is counted over all documents (27 letter classes
-cubed, so its size is fixed).  Tokens that look disguised (digits or signs
-among letters, letters repeated three times or more, letters spaced out one by
-one) become lattices: each sign offers the letters it may stand for, each
-repeated letter may be one or two, and the gaps of a spaced-out word may close.
-Viterbi decoding finds the path of the least channel cost and model cost, and
-the restored word replaces the token.
-
-Restored text is scored by word stems (whole words and prefixes of four to
-six letters) whose presence speaks for label 1.  Their log-odds are learned
-from a bounded sample of labelled rows (``SAMPLE`` rows, those of the smallest
-hashes of their ids), near copies once: rows that share a minimal shingle hash
-count as one.
+One pass over the documents counts words, and so the character trigrams of all
+letters there are (the model grows with the corpus), and gathers the tokens
+that look disguised: signs or digits among letters or at either end of them,
+signs and digits alone, letters repeated three times or more, letters spaced
+out one by one.  Each distinct token becomes a lattice: a sign offers the
+letters it may stand for, a run of one letter may be one, two or all of them,
+and each gap of a spaced-out run may close or stay a space.  The trigram counts
+that its arcs need are joined to it, and Viterbi decoding finds the path of
+the least channel cost and model cost, at whatever length.  A trigram that was
+seen seldom falls back on how often its last letter occurs.
+
+The restored words are scored with the words of the text: stems (whole words
+and prefixes of four to six letters) whose presence speaks for label 1.
+Their log-odds are learned from a bounded sample of labelled rows (``SAMPLE``
+rows, those of the smallest hashes of their ids), near copies once: rows
+that share a minimal shingle hash count as one.
 
 Defined results: null and empty texts have the score of a text without any
 stem; rows without an id are never learned from nor held out; repeated rows
@@ -36,116 +39,187 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, of_row, table, text_hash
 
 #: Labelled rows that stems are learned from, at most.
 SAMPLE = 30_000
-#: Stems: rows of label 1 that hold it, least log-odds, and how many are kept.
-LEAST_ROWS, LEAST_ODDS, STEMS = 5, 4.2, 20_000
+#: Stems: rows of label 1 that hold it, least log-odds.
+LEAST_ROWS, LEAST_ODDS = 5, 4.2
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
+#: Rows (token or key of a document) that are looked up by broadcast, at most.
+BROADCAST_ROWS = 500_000
 
 # What a sign may stand for, and what a substitution costs.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
 SUBSTITUTE, KEEP_SIGN, COLLAPSE, KEEP_RUN = 0.5, 12.0, 0.3, 1.5
-
-SIGNS = re.escape("".join(LEET))
-DISGUISED = re.compile(rf"[^\W\d_][{SIGNS}]+[^\W\d_]|(?<!\S)[{SIGNS}][^\W\d_]{{2}}|([^\W\d_])\1\1")
-SPACED = re.compile(r"(?<![^\W_])[^\W_](?:(?P<gap>[ .\-_*])[^\W_])(?:(?P=gap)[^\W_]){2,}(?![^\W_])")
+#: Weight of a letter's own frequency against what follows a context.
+BACK_OFF = 2.0
+
+SIGNS, LETTER = re.escape("".join(LEET)), r"[^\W\d_]"
+DISGUISED = re.compile(rf"{LETTER}[{SIGNS}]+{LETTER}|(?<!\S)[0-9@$!|+€]+{LETTER}|{LETTER}[0-9@$|+€]+(?!\S)|(?<!\S)[{SIGNS}]{{3,}}(?!\S)|({LETTER})\1\1")
+ONE = r"(?:[^\W_]|[@$!|+€])"
+SPACED = re.compile(rf"(?<![^\W_]){ONE}(?P<gap>[ .\-_*]){ONE}(?:(?P=gap){ONE}){{2,}}(?![^\W_])")
+GAPS = set(" .-_*")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-#: Longer tokens and runs of one letter are not words; they stay as they are.
-WORD_MOST = 40
+#: A letter's bits in the code of a trigram; 0 is the edge of a word.
+BITS = 21
+LOW = (1 << BITS) - 1
+
+
+def suspects(text: str) -> set[str]:
+    """The distinct tokens of a text that look disguised."""
+    out = {m[0].lower() for m in SPACED.finditer(text)}
+    at = 0
+    while m := DISGUISED.search(text, at):
+        start, at = m.start(), m.end()
+        while start > 0 and not text[start - 1].isspace():
+            start -= 1
+        while at < len(text) and not text[at].isspace():
+            at += 1
+        out.add(text[start:at].strip(".,;:?\"'()[]{}").lower())
+    out.discard("")
+    return out
 
 
-def classes(text: str) -> np.ndarray:
-    """1-26: a-z, 27: another letter, 0: none."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    out = np.where(points >= 0xAA, 27, 0).astype(np.int64)
-    latin = (points >= 97) & (points <= 122)
-    out[latin] = points[latin] - 96
-    return out
+def trigrams(words: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the trigrams of counted words, edges included."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    points = np.frombuffer(("\0\0" + "\0\0".join(words) + "\0").encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    weight = np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes + 2)[: len(points) - 2]
+    code = points[:-2] << 2 * BITS | points[1:-1] << BITS | points[2:]
+    # a code across two words has an edge in the middle and none before it
+    own = (points[1:-1] > 0) | (points[:-2] == 0) & (points[2:] > 0)
+    code, at = np.unique(code[own], return_inverse=True)
+    return code, np.bincount(at, weight[own], len(code)).astype(np.int64)
 
 
-def count_trigrams(docs: DataFrame) -> DataFrame:
-    """code (of 28 ** 3) and n over all texts."""
+def scan(docs: DataFrame) -> DataFrame:
+    """A row for each document (doc_id, text_hash, tokens) and rows of trigram
+    counts (code, n), of one pass over the texts."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(28**3, dtype=np.int64)
+        seen: Counter[str] = Counter()
         for b in batches:
+            tokens = []
             for x in b["text"]:
-                if isinstance(x, str) and x:
-                    c = np.concatenate(([0, 0], classes(x), [0]))
-                    total += np.bincount(c[:-2] * 784 + c[1:-1] * 28 + c[2:], minlength=28**3)
-        code = np.nonzero(total)[0]
-        yield pd.DataFrame({"code": code.astype(np.int32), "n": total[code]})
-
-    return docs.select("text").mapInPandas(work, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-class Decoder:
-    """Viterbi over the lattice of a disguised token; costs are natural logs."""
-
-    def __init__(self, counts: dict[int, int]):
-        n = np.ones((28, 28, 28)) * 0.5
-        for code, k in counts.items():
-            n[code // 784, code // 28 % 28, code % 28] += k
-        self.cost = (-np.log(n / n.sum(axis=2, keepdims=True))).tolist()
-        self.cache: dict[str, str] = {}
-
-    def lattice(self, token: str) -> list[list[tuple[str, float]]]:
-        """For each run of one sign or letter: what it may be, at what cost."""
-        runs = [m[0] for m in re.finditer(r"(.)\1*", token, re.S)]
-        out = []
-        for run in runs:
-            c, k = run[0], len(run)
-            if c.isalpha():
+                x = _text(x)
+                seen.update(NOT_LETTERS.sub(" ", x.lower()).split())
+                tokens.append(sorted(suspects(x)))
+            yield pd.DataFrame({"doc_id": b["doc_id"].array, "text_hash": b["text_hash"].array, "tokens": pd.Series(tokens, dtype=object), "code": pd.array([None] * len(b), "Int64"), "n": pd.array([None] * len(b), "Int64")})
+            if len(seen) > 200_000:
+                yield counted(seen)
+                seen = Counter()
+        yield counted(seen)
+
+    def counted(seen: Counter[str]) -> pd.DataFrame:
+        code, n = trigrams(seen)
+        none = pd.Series([None] * len(code), dtype=object)
+        return pd.DataFrame({"doc_id": none, "text_hash": none, "tokens": none, "code": code, "n": n})
+
+    return docs.select("doc_id", text_hash().alias("text_hash"), "text").mapInPandas(work, f"doc_id {kind}, text_hash bigint, tokens array<string>, code bigint, n bigint")
+
+
+class Lattice:
+    """A token as runs, each with what it may be at what channel cost."""
+
+    def __init__(self, token: str):
+        spaced = SPACED.fullmatch(token)
+        gap = spaced["gap"] if spaced else None
+        self.runs = []
+        for m in re.finditer(r"(.)\1*", token, re.S):
+            c, k = m[0][0], len(m[0])
+            if gap is not None and c == gap:
+                self.runs.append([("", 0.0), (" ", 0.0)])
+            elif c.isalpha():
                 once = [(c, {1: 0.0, 2: 3.0}.get(k, COLLAPSE * (k - 1))), (c * 2, KEEP_RUN if k == 1 else COLLAPSE * (k - 2) if k > 2 else 0.0)]
-                out.append(once[:1] if k == 1 else once if k < 3 else [*once, (run, KEEP_RUN * (k - 2))])
+                self.runs.append(once[:1] if k == 1 else once if k < 3 else [*once, (m[0], KEEP_RUN * (k - 2))])
             elif c in LEET:
-                out.append([(x * j, SUBSTITUTE * k + 0.3 * (k - j)) for x in LEET[c] for j in range(1, min(k, 2) + 1)] + [("", KEEP_SIGN * k)])
+                self.runs.append([(x * j, SUBSTITUTE * k + 0.3 * (k - j)) for x in LEET[c] for j in range(1, min(k, 2) + 1)] + [("", KEEP_SIGN * k)])
             else:
-                out.append([("", 0.1 * k)])
-        return out
-
-    def decode(self, token: str) -> str:
-        """The word that the token most likely hides."""
-        token = token.lower()
-        if len(token) > WORD_MOST:
-            return token
-        if (known := self.cache.get(token)) is not None:
-            return known
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in self.lattice(token):
-            fresh: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in states.items():
+                self.runs.append([("", 0.1 * k)])
+
+    @staticmethod
+    def arcs(state: int, piece: str) -> tuple[list[int], int]:
+        """Codes of the trigrams on the way, and the state after it."""
+        codes = []
+        for c in piece:
+            z = 0 if c == " " else ord(c)
+            if z or state & LOW:  # a second edge changes nothing
+                codes.append(state << BITS | z)
+                state = (state << BITS | z) & (1 << 2 * BITS) - 1 if z else 0
+        return codes, state
+
+    def codes(self) -> set[int]:
+        """The trigrams of all paths."""
+        states, found = {0}, set()
+        for options in self.runs:
+            fresh = set()
+            for s in states:
+                for piece, _ in options:
+                    codes, t = self.arcs(s, piece)
+                    found.update(codes)
+                    fresh.add(t)
+            states = fresh
+        return found | {s << BITS for s in states}
+
+    def decode(self, cost: dict[int, float]) -> str:
+        """The text of the best path; ``cost``: of each trigram."""
+        states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
+        for options in self.runs:
+            fresh: dict[int, tuple[float, tuple]] = {}
+            for s, (so_far, path) in states.items():
                 for piece, more in options:
-                    x, y, total = a, b, cost + more
-                    for c in piece:
-                        z = ord(c) - 96 if "a" <= c <= "z" else 27
-                        total += self.cost[x][y][z]
-                        x, y = y, z
-                    if (x, y) not in fresh or total < fresh[x, y][0]:
-                        fresh[x, y] = (total, text + piece)
+                    codes, t = self.arcs(s, piece)
+                    total = so_far + more
+                    for c in codes:
+                        total += cost[c]
+                    if t not in fresh or total < fresh[t][0]:
+                        fresh[t] = (total, (path, piece))
             states = fresh
-        best = min((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in states.items())[1]
-        if len(self.cache) > 200_000:
-            self.cache.clear()
-        self.cache[token] = best
-        return best
-
-    def restore(self, text: str) -> str:
-        """The text with disguised tokens restored."""
-        text = SPACED.sub(lambda m: self.decode(m[0].replace(m["gap"], "")) if len(m[0]) <= 2 * WORD_MOST else m[0], text)
-        out, at = [], 0
-        while m := DISGUISED.search(text, at):
-            start, end = m.start(), m.end()
-            while start > at and not text[start - 1].isspace():
-                start -= 1
-            while end < len(text) and not text[end].isspace():
-                end += 1
-            out += [text[at:start], self.decode(text[start:end].strip(".,;:?\"'()[]{}")), " "]
-            at = end
-        return "".join(out) + text[at:] if out else text
+        _, path = min((total + cost[s << BITS], path) for s, (total, path) in states.items())
+        out = []
+        while path:
+            path, piece = path
+            out.append(piece)
+        return "".join(reversed(out))
+
+
+def restored(scanned: DataFrame) -> DataFrame:
+    """token and word (what it most likely hides) of the distinct tokens."""
+    counts = scanned.filter("code IS NOT NULL").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = cut(counts)
+    contexts = counts.groupBy(F.shiftright("code", BITS).alias("context")).agg(F.sum("n").alias("m"))
+    # one row for each letter of the corpus
+    letters = {r.z: r.n for r in counts.groupBy(F.col("code").bitwiseAND(F.lit(LOW)).alias("z")).agg(F.sum("n").alias("n")).collect()}
+    total = sum(letters.values())
+    sent = scanned.sparkSession.sparkContext.broadcast(letters)
+
+    def need(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(0, len(b), 256):
+                part = b["token"].iloc[k : k + 256]
+                found = [sorted(Lattice(t).codes()) for t in part]
+                yield pd.DataFrame({"token": np.repeat(part.to_numpy(object), list(map(len, found))), "code": [c for f in found for c in f]})
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = []
+            for token, arcs in zip(b["token"], b["arcs"]):
+                cost = {}
+                for a in arcs:
+                    share = (sent.value.get(a["code"] & LOW, 0) + 0.5) / (total + 1)
+                    cost[a["code"]] = -math.log((a["n"] + BACK_OFF * share) / (a["m"] + BACK_OFF))
+                words.append(Lattice(token).decode(cost))
+            yield pd.DataFrame({"token": b["token"], "word": words})
+
+    tokens = scanned.select(F.explode("tokens").alias("token")).distinct()
+    arcs = tokens.mapInPandas(need, "token string, code bigint").join(counts, "code", "left").withColumn("context", F.shiftright("code", BITS)).join(contexts, "context", "left")
+    arc = F.struct("code", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
+    return cut(arcs.groupBy("token").agg(F.collect_list(arc).alias("arcs")).mapInPandas(solve, "token string, word string"))
 
 
 def words_of(text: str) -> str:
@@ -169,27 +243,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn_stems(docs: DataFrame, labels: DataFrame, trigrams: dict[int, int], sample: int = SAMPLE) -> tuple[dict[str, float], float]:
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def learn_stems(docs: DataFrame, scanned: DataFrame, words: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float]:
     """Log-odds of stems, and the log-odds of a text without any."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
+    chosen = F.broadcast(cut(known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)))  # at most ``sample`` rows of two numbers
 
     def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder, h = Decoder(trigrams), xxhash.xxh64_intdigest
+        h = xxhash.xxh64_intdigest
         for b in batches:
-            words = [words_of(decoder.restore(_text(x))) for x in b["text"]]
-            split = [w.split() for w in words]
+            plain = [words_of(_text(x)) for x in b["text"]]
+            split = [w.split() for w in plain]
             least = [min((h(" ".join(s[k : k + 3])) for k in range(max(1, len(s) - 2))), default=0) for s in split]
-            yield pd.DataFrame({"toxic": b["toxic"], "words": words, "least": np.array(least, dtype=np.uint64).view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"].array, "text_hash": b["text_hash"].array, "toxic": b["toxic"].array, "plain": plain, "least": np.array(least, dtype=np.uint64).view(np.int64)})
 
-    once = rows.mapInPandas(prepare, "toxic int, words string, least bigint").groupBy("least").agg(F.min_by("words", F.xxhash64("words")).alias("words"), F.max("toxic").alias("toxic"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", text_hash().alias("text_hash"), "text").join(chosen, "doc_id").mapInPandas(prepare, f"doc_id {kind}, text_hash bigint, toxic int, plain string, least bigint")
+    hidden = scanned.select("doc_id", "text_hash", F.explode("tokens").alias("token")).join(chosen.select("doc_id").distinct(), "doc_id")
+    hidden = hidden.join(words, "token").groupBy("doc_id", "text_hash").agg(F.array_join(F.array_sort(F.collect_set("word")), " ").alias("more"))
+    rows = rows.join(hidden, ["doc_id", "text_hash"], "left").withColumn("words", F.concat("plain", F.coalesce("more", F.lit("")), F.lit(" ")))
+    once = rows.groupBy("least").agg(F.min_by("words", F.xxhash64("words")).alias("words"), F.max("toxic").alias("toxic"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: list[Counter[str]] = [Counter(), Counter()]
         for b in batches:
             for words, toxic in zip(b["words"], b["toxic"]):
-                n[toxic > 0].update(stems_of(words))
+                n[toxic > 0].update(stems_of(words_of(words)))
                 n[toxic > 0][""] += 1
             if len(n[0]) + len(n[1]) > 2_000_000:
                 yield _counted(n)
@@ -197,14 +279,14 @@ def learn_stems(docs: DataFrame, labels: DataFrame, trigrams: dict[int, int], sa
         if n[0] or n[1]:
             yield _counted(n)
 
-    counts = once.mapInPandas(count, "stem string, n0 bigint, n1 bigint").groupBy("stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    totals = F.broadcast(counts.filter("stem = ''").selectExpr("n0 AS t0", "n1 AS t1"))  # one row
-    odds = F.log((F.col("n1") + 0.5) / (F.col("t1") + 1)) - F.log((F.col("n0") + 0.5) / (F.col("t0") + 1))
-    kept = counts.filter((F.col("n1") >= LEAST_ROWS) | (F.col("stem") == "")).crossJoin(totals).withColumn("odds", odds).filter((F.col("odds") >= LEAST_ODDS) | (F.col("stem") == ""))
-    found = kept.orderBy(F.length("stem") > 0, F.desc("odds"), "stem").limit(STEMS).collect()
-    base = next((r for r in found if r.stem == ""), None)
-    stems = {r.stem: r.odds for r in found if r.stem}
-    return stems, math.log((base.n1 + 0.5) / (base.n0 + 0.5)) if base else 0.0
+    counts = cut(once.select("words", "toxic").mapInPandas(count, "stem string, n0 bigint, n1 bigint").groupBy("stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    base = counts.filter("stem = ''").first()
+    if base is None:
+        return {}, 0.0
+    odds = F.log((F.col("n1") + 0.5) / F.lit(base.n1 + 1.0)) - F.log((F.col("n0") + 0.5) / F.lit(base.n0 + 1.0))
+    found = counts.filter((F.col("n1") >= LEAST_ROWS) & (F.col("stem") != "") & (odds >= LEAST_ODDS)).select("stem", odds.alias("odds"))
+    # as many as the sample's bound allows
+    return {r.stem: r.odds for r in found.collect()}, math.log((base.n1 + 0.5) / (base.n0 + 0.5))
 
 
 def _counted(n: list[Counter[str]]) -> pd.DataFrame:
@@ -212,54 +294,65 @@ def _counted(n: list[Counter[str]]) -> pd.DataFrame:
     return pd.DataFrame({"stem": keys, "n0": [n[0][k] for k in keys], "n1": [n[1][k] for k in keys]})
 
 
-class Scorer:
-    def __init__(self, stems: dict[str, float], prior: float, trigrams: dict[int, int]):
-        self.decoder, self.prior = Decoder(trigrams), prior
+class Finder:
+    """The words of a text that hold a stem, with the odds of the strongest."""
+
+    def __init__(self, stems: dict[str, float]):
         self.find = ahocorasick.Automaton() if stems else None
         if self.find is not None:
             for s, odds in stems.items():
                 self.find.add_word(s, (s, odds))
             self.find.make_automaton()
 
-    def __call__(self, text: str) -> float:
-        """Sums, over distinct words that hold stems, the strongest stem."""
+    def __call__(self, text: str) -> list[dict]:
         if self.find is None or not text:
-            return _sigmoid(self.prior)
-        words, best = words_of(self.decoder.restore(text)), {}
+            return []
+        words, best = words_of(text), {}
         for end, (stem, odds) in self.find.iter(words):
             start = end - len(stem) + 1
             word = words[start : words.index(" ", start + 1)]
             best[word] = max(odds, best.get(word, 0.0))
-        return _sigmoid(self.prior + sum(best.values()))
-
-
-def _sigmoid(z: float) -> float:
-    return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
-
-
-def score_documents(docs: DataFrame, corpus: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry: bool = False) -> DataFrame:
-    """doc_id and score of each row of ``docs``; with ``carry`` all its
-    columns and ``__score``.  ``corpus``: the documents that the character
-    model and the stems are learned from."""
-    sc = docs.sparkSession.sparkContext
-    trigrams = {r.code: r.n for r in count_trigrams(corpus).collect()}  # at most 28 ** 3 rows
-    stems, prior = learn_stems(corpus, labels, trigrams, sample)
-    sent = sc.broadcast((stems, prior, trigrams))
-
-    def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(*sent.value)
+        return [{"word": w, "odds": o} for w, o in best.items()]
+
+
+def score_documents(docs: DataFrame, corpus: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, text_hash (with doc_id the row's key) and score of each row of
+    ``docs``.  ``corpus``: the documents that the character model and the stems
+    are learned from."""
+    scanned = cut(scan(corpus))
+    words = restored(scanned)
+    stems, prior = learn_stems(corpus, scanned, words, labels, sample)
+    if docs is not corpus:
+        scanned = cut(scan(docs).unionByName(scanned.filter("code IS NOT NULL")))
+        words = restored(scanned)
+    sent = docs.sparkSession.sparkContext.broadcast(stems)
+    hit = "array<struct<word:string,odds:double>>"
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = Finder(sent.value)
         for b in batches:
-            yield pd.Series([scorer(_text(x)) for x in b], dtype="float64")
-
-    score = F.pandas_udf(work, "double")
-    if carry:
-        return docs.withColumn("__score", score(F.col("text")))
-    return docs.select("doc_id", score(F.col("text")).alias("score"))
+            b[b.columns[-1]] = [find(_text(x)) for x in b.iloc[:, -1]]
+            yield b.rename(columns={b.columns[-1]: "hits"})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    plain = docs.select("doc_id", text_hash().alias("text_hash"), "text").mapInPandas(look, f"doc_id {kind}, text_hash bigint, hits {hit}")
+    telling = cut(words.mapInPandas(look, f"token string, hits {hit}").filter(F.size("hits") > 0))
+    hidden = scanned.select("doc_id", "text_hash", F.explode("tokens").alias("token")).join(_small(telling), "token")
+    hidden = cut(hidden.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("hits")).alias("more")))
+    extra = _small(hidden).toDF("i", "t", "more")
+    both = plain.join(extra, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("t")), "left")
+    # of each distinct word the largest odds: sorted by word, then odds, the last counts
+    hits = F.array_sort(F.array_distinct(F.concat("hits", F.coalesce("more", F.lit(None).cast(hit), F.array().cast(hit)))))
+    named = both.select("doc_id", "text_hash", hits.alias("hits"))
+    last = F.filter("hits", lambda h, i: F.coalesce(F.get("hits", i + 1)["word"] != h["word"], F.lit(True)))
+    z = F.lit(prior) + F.aggregate(last, F.lit(0.0), lambda x, h: x + h["odds"])
+    return named.select("doc_id", "text_hash", (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def keep_clean(docs: DataFrame, corpus: DataFrame, labels: DataFrame, reject: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``reject``, with their columns."""
-    return score_documents(docs, corpus, labels, carry=True).filter(F.col("__score") < reject).drop("__score")
+    bad = cut(score_documents(docs, corpus, labels).filter(F.col("score") >= reject).select("doc_id", "text_hash").distinct())
+    return of_row(docs, _small(bad), "left_anti")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

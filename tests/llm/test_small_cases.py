@@ -96,14 +96,31 @@ def test_toxicity_held_out(spark):
     assert toxicity.score_documents(d.limit(0), d.limit(0), labels).count() == 0
 
 
-def test_deobfuscation():
-    text = "what an idiot and moron, you loser; stupid trash clown. " * 50
-    c = np.concatenate(([0, 0], toxicity.classes(text), [0]))
-    counts = np.bincount(c[:-2] * 784 + c[1:-1] * 28 + c[2:], minlength=28**3)
-    restore = toxicity.Decoder({int(k): int(counts[k]) for k in np.nonzero(counts)[0]}).restore
-    for hidden, word in [("1d10t", "idiot"), ("m.o.r.o.n", "moron"), ("l0$er", "loser"), ("stuuuupid", "stupid"), ("tr@5h", "trash"), ("c l o w n", "clown")]:
-        assert restore(f"you {hidden} there").split()[1] == word
-    assert restore("plain words stay") == "plain words stay"
+def test_deobfuscation(spark):
+    text = "what an idiot and moron, you loser; stupid trash clown; ass größe дурак. a to be of the in it is " * 50
+    cases = [("1d10t", "idiot"), ("m.o.r.o.n", "moron"), ("l0$er", "loser"), ("stuuuupid", "stupid"), ("tr@5h", "trash"), ("c l o w n", "clown"), ("lo" + "o" * 50 + "ser", "loser"), ("a$$", "ass"), ("455", "ass"), ("1diot", "idiot"), ("m0r0n", "moron"), ("größ3", "größe"), ("дуууурак", "дурак"), ("y o u i d i o t", "you idiot"), ("y o u s t u p i d c l o w n", "you stupid clown")]
+    cases.append(("t r a s h i d i o t " * 20 + "y o u", " ".join(["trash idiot"] * 20 + ["you"])))
+    given = [text, *(f"hey {hidden}  there" for hidden, _ in cases), "plain words stay, (really) so: 1 2", None, ""]
+    scanned = toxicity.cut(toxicity.scan(docs(spark, given)))
+    words = {r.token: r.word for r in toxicity.restored(scanned).collect()}
+    assert {h: words.get(h) for h, _ in cases} == dict(cases)
+    assert all(not r.tokens for r in scanned.filter(f"doc_id > {len(cases)}").collect())
+
+
+def test_trigrams_grow_with_the_words():
+    code, n = toxicity.trigrams(collections.Counter({"ab": 3, "é": 2, "abc": 1}))
+    at = lambda x, y, z: ord(x) << 42 | ord(y) << 21 | ord(z)
+    e = "\0"
+    assert dict(zip(code.tolist(), n.tolist())) == {at(e, e, "a"): 4, at(e, "a", "b"): 4, at("a", "b", e): 3, at(e, e, "é"): 2, at(e, "é", e): 2, at("a", "b", "c"): 1, at("b", "c", e): 1}
+
+
+def test_toxicity_awkward_rows(spark):
+    given = ["1d10t " * 30000, "x", "x", "", None, "5" * 50000, "a " * 20000]
+    d = docs(spark, given, [1, 2, 2, 3, None, 5, 6]).withColumnRenamed("lang", "score").withColumnRenamed("source", "row_id")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.score for r in toxicity.score_documents(d, d, labels).collect()} == {0.5}
+    kept = toxicity.keep_clean(d, d, labels, reject=0.6)
+    assert kept.columns == d.columns and kept.count() == 7 and toxicity.keep_clean(d, d, labels).count() == 0
 
 
 # ---- op3
