@@ -21,6 +21,7 @@ results; an empty table gives an empty result.  Other columns play no part.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,7 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-#: Where the vocabulary lies; read on the driver only and sent along (1 MB).
+#: Where the vocabulary lies, unless the session's SETTING names another path;
+#: read on the driver only and sent along as plain tables (3 MB).
+SETTING = "spark.asof_factors.sentencepiece.model"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: A task forgets its words beyond so many, to bound its memory.
@@ -67,6 +70,13 @@ class Vocabulary:
         first = next(i for i in n if p.is_byte(i))
         return cls([p.id_to_piece(i) for i in n], [p.get_score(i) for i in n], first, {i for i in n if p.is_control(i) or p.is_unknown(i) or p.is_unused(i)})
 
+    @classmethod
+    def of(cls, tables: dict[str, object]) -> Vocabulary:
+        """From ``vars`` of another one."""
+        new = cls.__new__(cls)
+        new.__dict__.update(tables, fits={})
+        return new
+
     def merge(self, text: str) -> list[str]:
         """Merge characters, the best rank first and leftmost among equals."""
         parts = list(text)
@@ -155,58 +165,58 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes batch after batch and remembers words."""
+    """Encodes batch after batch and remembers words, as packed ids."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.cache = vocabulary, {}
 
-    def __call__(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
+    def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
         """Ids of each text, and the text that they decode to."""
         split = [self.vocabulary.split(t) for t in texts]
         words = set(chain.from_iterable(split))
         fresh = words.difference(self.cache)
         if len(self.cache) + len(fresh) > CACHE_WORDS:
             self.cache, fresh = {}, words
-        self.cache |= self.vocabulary.encode_words(sorted(fresh))
-        cache, out = self.cache, []
-        for ws in split:
-            ids: list[int] = []
-            for w in ws:
-                ids += cache[w]
-            out.append(ids)
-        return out, [self.vocabulary.decode(ids) for ids in out]
+        self.cache |= {w: array("i", ids).tobytes() for w, ids in self.vocabulary.encode_words(sorted(fresh)).items()}
+        found = [np.frombuffer(b"".join(map(self.cache.__getitem__, ws)), dtype=np.int32) for ws in split]
+        return found, [self.vocabulary.decode(ids.tolist()) for ids in found]
+
+
+def model_of(spark: SparkSession) -> str:
+    return spark.conf.get(SETTING, MODEL)
 
 
 def clean(x: object) -> str:
     return x if isinstance(x, str) else ""
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """doc_id, ids, ``same`` (whether they decode to the text with its marks
     U+2581 read as spaces) and ``round_trip`` (whether to the text itself)."""
-    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    sent = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary.load(model or model_of(docs.sparkSession))))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(sent.value)
+        encoder = Encoder(Vocabulary.of(sent.value))
         for b in batches:
             texts = [clean(x) for x in b["text"]]
             for k in range(0, len(texts), 512):
                 part = texts[k : k + 512]
                 ids, back = encoder(part)
                 same = [d == t.replace(MARK, " ") for d, t in zip(back, part)]
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[k : k + 512].array, "ids": [np.array(i, dtype=np.int32) for i in ids], "same": same, "round_trip": [d == t for d, t in zip(back, part)]})
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[k : k + 512].array, "ids": ids, "same": same, "round_trip": [d == t for d, t in zip(back, part)]})
 
     given = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
     return given.mapInPandas(work, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, ids array<int>, same boolean, round_trip boolean")
 
 
-def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
+def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id and text of rows of doc_id and ids."""
-    sent = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    sent = encoded.sparkSession.sparkContext.broadcast(vars(Vocabulary.load(model or model_of(encoded.sparkSession))))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary = Vocabulary.of(sent.value)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [sent.value.decode([] if i is None else list(i)) for i in b["ids"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [vocabulary.decode([] if i is None else list(i)) for i in b["ids"]]})
 
     return encoded.select("doc_id", "ids").mapInPandas(work, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 

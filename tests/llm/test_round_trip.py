@@ -1,9 +1,15 @@
 """op10 decodes each document's ids and compares them with its own text."""
 
+import os
+import subprocess
+import sys
+
 from asof_factors.llm import sentencepiece_codec
 
 from test_small_cases import docs
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def test_text_with_the_mark_does_not_return(spark, tmp_path):
     texts = ["a b", "bars ▁▂▃", "▁", None, "", " x  é\n", "日"]
@@ -15,5 +21,22 @@ def test_text_with_the_mark_does_not_return(spark, tmp_path):
 def test_each_text_is_decoded():
     v = sentencepiece_codec.Vocabulary.load()
     v.encoded[v.ids["▁the"]] = b"?"
-    ids, back = sentencepiece_codec.Encoder(v)(["of the day", "of a day"])
-    assert back == [v.decode(i) for i in ids] and back[0] != "of the day" and back[1] == "of a day"
+    found, back = sentencepiece_codec.Encoder(v)(["of the day", "of a day"])
+    assert back == [v.decode(i.tolist()) for i in found] and back[0] != "of the day" and back[1] == "of a day"
+
+
+def test_workers_need_not_import_the_package(tmp_path):
+    """A session started elsewhere, whose workers do not find the package."""
+    script = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+from asof_factors.llm import sentencepiece_codec as s
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+docs = spark.createDataFrame([(1, "of the day"), (2, None)], "doc_id long, text string")
+got = s.decode_documents(s.encode_documents(docs)).collect()
+assert sorted((r.doc_id, r.text) for r in got) == [(1, "of the day"), (2, "")]
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-2000:]
