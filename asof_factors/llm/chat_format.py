@@ -2,7 +2,8 @@
 
 A turn's content is a list of parts ``(type, text, ref, units)``.  The
 visitor walks the parts in order: a text part gives its escaped text, an
-image, audio or document part an ordered placeholder; it records the
+image, audio or document part a placeholder with its place among the turn's
+parts; it records the
 attachment's reference and how many tokens the placeholder stands for once
 expanded.  Control characters inside texts are escaped reversibly, so that
 the formatted string can be read back.
@@ -24,12 +25,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sha, table
+from .common import running_sums, sha, table
 
 #: What is escaped, the escape first.
 ESCAPES = [("\\", "\\0"), ("<", "\\1"), (">", "\\2"), ("[", "\\3"), ("]", "\\4")]
 PART = "struct<type:string,text:string,ref:string,units:double>"
-#: Expanded tokens of a part: units (pixels, seconds, pages) by this rate, rounded up.
+#: Expanded tokens of a part: units (pixels, seconds, pages) by this rate, rounded
+#: up.  A default; format_chats() takes other rates and other types.
 TOKENS_PER_UNIT = {"image": 1 / 784, "audio": 25.0, "document": 600.0}
 
 
@@ -41,46 +43,33 @@ def unescape(c: Column) -> Column:
     return reduce(lambda x, e: F.replace(x, F.lit(e[1]), F.lit(e[0])), reversed(ESCAPES), c)
 
 
-def _tokens(p: Column) -> Column:
-    rate = reduce(lambda x, kv: F.when(p["type"] == kv[0], F.lit(kv[1])).otherwise(x), TOKENS_PER_UNIT.items(), F.lit(1.0))
+def _tokens(p: Column, rates: dict[str, float]) -> Column:
+    rate = reduce(lambda x, kv: F.when(p["type"] == kv[0], F.lit(float(kv[1]))).otherwise(x), rates.items(), F.lit(1.0))
     return F.ceil(F.coalesce(p["units"], F.lit(0.0)) * rate).cast("long")
 
 
-def visit(parts: Column) -> Column:
+def visit(parts: Column, rates: dict[str, float] = TOKENS_PER_UNIT) -> Column:
     """(content, attachments) of a turn's parts."""
-    start = F.struct(F.lit("").alias("content"), F.array().cast("array<struct<n:int,type:string,ref:string,tokens:bigint>>").alias("attachments"))
+    is_text = lambda p: F.coalesce(p["type"], F.lit("text")) == "text"
+    shown = lambda p, i: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<"), escape(p["type"]), F.lit(":"), (i + 1).cast("string"), F.lit(">")))
+    held = F.transform(parts, lambda p, i: F.when(~is_text(p), F.struct((i + 1).alias("n"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p, rates).alias("tokens"))))
+    return F.struct(F.array_join(F.transform(parts, shown), "").alias("content"), F.array_compact(held).alias("attachments"))
 
-    def step(acc: Column, p: Column) -> Column:
-        is_text = F.coalesce(p["type"], F.lit("text")) == "text"
-        n = F.size(acc["attachments"]) + 1
-        content = F.when(is_text, escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<"), escape(p["type"]), F.lit(":"), n.cast("string"), F.lit(">")))
-        one = F.array(F.struct(n.alias("n"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
-        more = F.when(is_text, acc["attachments"]).otherwise(F.concat(acc["attachments"], one))
-        return F.struct(F.concat(acc["content"], content).alias("content"), more.alias("attachments"))
 
-    return F.aggregate(parts, start, step)
-
-
-def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
+def format_chats(turns: DataFrame, loss_role: str = "assistant", rates: dict[str, float] = TOKENS_PER_UNIT) -> DataFrame:
     """``turns``: conv_id, turn, role, parts (array of PART).  One row for
     each conversation: conv_id, formatted, n_turns, attachments (turn number,
     placeholder, ref, tokens), expanded_tokens and loss_mask (start, size in
     code points of ``formatted``)."""
-    each = turns.select("conv_id", "turn", escape(F.coalesce("role", F.lit(""))).alias("role"), visit(F.col("parts")).alias("v"))
+    each = turns.select("conv_id", "turn", escape(F.coalesce("role", F.lit(""))).alias("role"), visit(F.coalesce("parts", F.array().cast(f"array<{PART}>")), rates).alias("v"))
     rows = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("v.content").alias("content"), F.col("v.attachments").alias("attachments"))))
     chats = each.groupBy("conv_id").agg(rows.alias("t"))
     piece = lambda t: F.concat(F.lit("<s>["), t["role"], F.lit("] "), t["content"], F.lit(" </s>"))
     chats = chats.withColumn("pieces", F.transform("t", piece))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,size:int>>").alias("mask"))
-
-    def step(acc: Column, t: Column) -> Column:
-        before = F.char_length(t["role"]) + F.lit(len("<s>[] "))
-        size = F.char_length(t["content"])
-        one = F.array(F.struct((acc["at"] + before).alias("start"), size.alias("size")))
-        return F.struct((acc["at"] + before + size + F.lit(len(" </s>"))).alias("at"), F.when(t["role"] == escape(F.lit(loss_role)), F.concat(acc["mask"], one)).otherwise(acc["mask"]).alias("mask"))
-
+    chats = chats.withColumn("at", running_sums(F.transform("pieces", F.char_length)))
+    mask = lambda t, i: F.when(t["role"] == escape(F.lit(loss_role)), F.struct((F.get("at", i) + 1 + F.char_length(t["role"]) + len("<s>[] ")).alias("start"), F.char_length(t["content"]).alias("size")))
     at = F.flatten(F.transform("t", lambda t, i: F.transform(t["attachments"], lambda a: F.struct((i + 1).alias("turn_no"), a["n"].alias("n"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
-    out = chats.select("conv_id", F.array_join("pieces", "").alias("formatted"), F.size("t").cast("long").alias("n_turns"), at.alias("attachments"), F.aggregate("t", start, step, lambda acc: acc["mask"]).alias("loss_mask"))
+    out = chats.select("conv_id", F.array_join("pieces", "").alias("formatted"), F.size("t").cast("long").alias("n_turns"), at.alias("attachments"), F.array_compact(F.transform("t", mask)).alias("loss_mask"))
     return out.withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda x, a: x + a["tokens"]))
 
 
@@ -110,6 +99,8 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("loss").cast("long").alias("loss_chars"),
         sha(F.col("loss")).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "expanded_tokens",
     )
 
 
@@ -126,6 +117,7 @@ SELECT conv_id, count(*)::bigint AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::bigint AS loss_chars,
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
-       sum(length({_sql_escape('role')}) + length({_sql_escape('text')}) + 11)::bigint AS formatted_chars
+       sum(length({_sql_escape('role')}) + length({_sql_escape('text')}) + 11)::bigint AS formatted_chars,
+       0::bigint AS n_attachments, 0::bigint AS expanded_tokens
 FROM c GROUP BY conv_id
 """

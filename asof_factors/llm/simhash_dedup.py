@@ -7,11 +7,15 @@ t_1..t_m (-1: the partition is not probed), sum(t_i + 1) = t + 1 guarantees
 that every neighbour agrees with it in some partition up to t_i bits; dynamic
 programming picks the thresholds with the fewest estimated candidates, from
 exact counts of partition values.  Probes meet the index by an equi-join, and
-candidates are verified on all 64 bits.
+candidates are verified on all 64 bits.  How many partitions there are follows
+from the number of distinct fingerprints: three of 21 or 22 bits need the
+fewest probes, but beyond some 25 million fingerprints they give more
+candidates than two of 32 bits.
 
 Dense clusters would still give pairs as the square of their size.  A
 fingerprint whose cheapest thresholds promise more candidates than it has
-one-bit neighbours is instead filed under each of those 65 neighbours: two
+one-bit neighbours, and twice those of a fingerprint that lies nowhere near
+others, is instead filed under each of those 65 neighbours: two
 fingerprints differ in at most two bits exactly if they share one.  A key then
 holds at most 65 fingerprints.  A pair with one side probing is found by that
 side's probes, so no link is lost.  (This holds for radius 2; other radii
@@ -36,9 +40,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, of_row, table
 
-SHINGLE, RADIUS, PARTS = 3, 2, 3
+SHINGLE, RADIUS = 3, 2
 SEED = 42
 #: Candidates beyond which one-bit neighbours are cheaper.
 HUB = 65
@@ -73,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return given.mapInPandas(work, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, text_hash bigint, fp bigint")
 
 
-def bit_groups(distinct: DataFrame, parts: int = PARTS) -> list[list[int]]:
+def bit_groups(distinct: DataFrame, parts: int) -> list[list[int]]:
     """Bits (0: least significant) in groups of near-equal size, correlated
     bits together.  The driver gets 2,080 sums whatever the table's size."""
 
@@ -155,6 +159,21 @@ def allocate(counts: np.ndarray, widths: list[int], n: int, radius: int = RADIUS
     return out, best[radius + 1]
 
 
+def widths_of(parts: int) -> list[int]:
+    return [64 // parts + (i < 64 % parts) for i in range(parts)]
+
+
+def spread_cost(n: int, parts: int, radius: int = RADIUS) -> float:
+    """Estimated probes and candidates of a fingerprint among n random ones."""
+    widths = widths_of(parts)
+    return float(allocate(np.array([[1 + n / 2.0**w for w in widths]]), widths, n, radius)[1][0])
+
+
+def parts_for(n: int, radius: int = RADIUS) -> int:
+    """The number of partitions with the least estimate."""
+    return min(range(1, radius + 3), key=lambda m: spread_cost(n, m, radius))
+
+
 def _variants(value: Column, width: int, t: Column, radius: int) -> Column:
     """The value and all within t bits of it, for t up to ``radius``."""
     near = F.array(value)
@@ -168,13 +187,14 @@ def _variants(value: Column, width: int, t: Column, radius: int) -> Column:
     return out
 
 
-def find_links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS, hub: int = HUB) -> DataFrame:
+def find_links(fps: DataFrame, radius: int = RADIUS, parts: int | None = None, hub: int = HUB) -> DataFrame:
     """Links a < b between distinct fingerprints (column ``fp``) of at most
     ``radius`` differing bits: all of them, or, in dense clusters, enough to
     join the same fingerprints."""
+    n = fps.count()
+    parts = parts or parts_for(n, radius)
     groups = bit_groups(fps, parts)
     widths = [len(g) for g in groups]
-    n = fps.count()
     index = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), part_value(F.col("fp"), g).alias("value")) for i, g in enumerate(groups)])).alias("p")).select("fp", "p.part", "p.value")
     index = cut(index.repartition("part", "value"))
     shared = index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -186,7 +206,7 @@ def find_links(fps: DataFrame, radius: int = RADIUS, parts: int = PARTS, hub: in
             yield pd.DataFrame({"fp": b["fp"], **{f"t{i}": t[:, i] for i in range(parts)}, "cost": cost})
 
     planned = cut(counted.mapInPandas(work, "fp bigint, " + ", ".join(f"t{i} int" for i in range(parts)) + ", cost double"))
-    dense = F.col("cost") > hub if radius == 2 else F.lit(False)
+    dense = F.col("cost") > max(hub, 2 * spread_cost(n, parts, radius)) if radius == 2 else F.lit(False)
 
     def keyed(i: int, g: list[int]) -> Column:
         values = _variants(part_value(F.col("fp"), g), widths[i], F.col(f"t{i}"), radius)
@@ -239,9 +259,8 @@ def keep_first(docs: DataFrame, size: int = 5, radius: int = RADIUS) -> DataFram
     one with the smallest doc_id, then text hash."""
     found = near_dedup(docs, size=size, radius=radius)
     own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    kept = found.groupBy("component_id").agg(F.min(own).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
-    return docs.join(kept, on, "left_semi")
+    kept = found.groupBy("component_id").agg(F.min(own).alias("k")).select("k.doc_id", "k.text_hash")
+    return of_row(docs, kept, "left_semi")
 
 
 def hex_of(fp: Column) -> Column:

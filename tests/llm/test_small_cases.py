@@ -164,6 +164,7 @@ def test_thresholds_keep_the_pigeonhole_sum():
     counts = np.random.default_rng(1).integers(1, 500, (200, 3))
     t, cost = simhash_dedup.allocate(counts, [22, 21, 21], 10**6)
     assert ((t + 1).sum(axis=1) == 3).all() and (cost > 0).all()
+    assert [simhash_dedup.parts_for(10**k) for k in (0, 3, 6, 9, 10)] == [3, 3, 3, 2, 2]
 
 
 # ---- op4
@@ -222,8 +223,16 @@ def test_chat_parts(spark):
     parts = [("text", "see ", None, None), ("image", None, "s3://a.png", 7840.0), ("audio", None, "b.wav", 2.0), (None, "end", None, None), ("document", None, None, None)]
     t = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", [])], f"conv_id long, turn long, role string, parts array<{chat_format.PART}>")
     r = chat_format.format_chats(t).first()
-    assert r.formatted == "<s>[user] see <image:1><audio:2>end<document:3> </s><s>[assistant]  </s>"
-    assert [(a.turn_no, a.type, a.ref, a.tokens) for a in r.attachments] == [(1, "image", "s3://a.png", 10), (1, "audio", "b.wav", 50), (1, "document", None, 0)] and r.expanded_tokens == 60
+    assert r.formatted == "<s>[user] see <image:2><audio:3>end<document:5> </s><s>[assistant]  </s>"
+    assert [(a.n, a.type, a.ref, a.tokens) for a in r.attachments] == [(2, "image", "s3://a.png", 10), (3, "audio", "b.wav", 50), (5, "document", None, 0)] and r.expanded_tokens == 60
+
+
+def test_chat_of_many_turns(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"text {i}") for i in range(5000)]
+    t = chat_format.text_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    r = chat_format.format_chats(t).first()
+    assert [r.formatted[m.start - 1 : m.start - 1 + m.size] for m in r.loss_mask] == [x[3] for x in rows if x[2] == "assistant"]
+    assert chat_format.format_chats(t.limit(0)).count() == 0
 
 
 # ---- op6
