@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again: unlike a checkpoint, the
+    table keeps nothing of how it came about.  Equalities that a checkpoint
+    keeps make the plans of deep recursions slow to build."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def free(docs: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of ``docs`` has."""
     taken, out = {c.lower() for c in docs.columns}, []

@@ -25,6 +25,14 @@ An anchor with more than ``MOST`` distinct pieces (a passage shared by very
 many documents) would fill one task; its pieces are anchored anew with a
 longer q instead, until q is LENGTH, where pieces of one anchor are identical.
 
+Pieces that are alone under their anchor are not sorted: all copies of such a
+piece are equal, so it is repeated from end to end.  The column files lie in
+the task's own temporary folder; a task that is lost builds them again.
+
+With ``passage``, repeated passages of more than PASSAGE_WORDS words are
+counted besides, in a second run over strings of PASSAGE bytes: such passages
+may be shorter than LENGTH bytes.
+
 Defined results: null counts as empty; texts shorter than LENGTH keep all
 bytes; repeated rows are each other's repeats; a null doc_id is an id like any
 other.  An empty table gives an empty result.  Other columns play no part.
@@ -44,11 +52,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, saved, table, text_hash
 
 LENGTH = 400
 #: Lengths of anchors, level by level.
 ANCHORS = (128, 264, 332, 366, 383, 392, 396, 398, 399, 400)
+#: A passage has more than so many words, and no fewer bytes than this.
+PASSAGE_WORDS, PASSAGE = 50, 200
+PASSAGE_ANCHORS = (64, 132, 166, 183, 192, 196, 198, 199, 200)
+#: Anchors or documents that are looked up by broadcast, at most (8 or 16 bytes each).
+BROADCAST_ROWS = 1_000_000
 #: Distinct pieces of one anchor that one task sorts, at most.
 MOST = 8192
 #: Pieces in a batch: no further anchor is added beyond it.
@@ -296,28 +309,34 @@ def _fetched(reps: DataFrame, units: DataFrame, length: int, squeezed: bool = Fa
             if rows:
                 yield pd.DataFrame(rows, columns=["key", "seg", "n", "place", "data"])
 
-    wanted = reps.groupBy("u1", "u2").agg(F.collect_list(F.struct("key", "seg", "n", "place", "first", "last")).alias("wanted"))
+    wanted = cut(reps.groupBy("u1", "u2").agg(F.collect_list(F.struct("key", "seg", "n", "place", "first", "last")).alias("wanted")))
+    units = units.join(_small(wanted.select("u1", "u2")), ["u1", "u2"], "left_semi")
     return units.select("u1", "u2", "data").join(wanted, ["u1", "u2"]).select("data", "wanted").mapInPandas(work, "key bigint, seg bigint, n bigint, place int, data binary")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _repeats(source: DataFrame, units: DataFrame, level: int, length: int, anchors: tuple[int, ...], most: int) -> DataFrame:
     """u1, u2, start, stop of repeated byte ranges of ``units``; ``source``
     holds the same, packed or not."""
     q = anchors[level]
     # cut, so that both sides of the join are dealt anew and hot anchors can be split
     often = cut(_counted(source, q, length).filter("n > 1").select("key"))
-    held = cut(_anchored(source, q, length).join(often, "key"))
-    kinds = held.groupBy("key", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("u1", "u2", "first", "last", "place")).alias("rep"))
-    sizes = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = cut(kinds.join(sizes, "key").select("key", "seg", "n", "kinds", "rep.*"))
+    held = cut(_anchored(source, q, length).join(_small(often), "key"))
+    kinds = cut(held.groupBy("key", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("u1", "u2", "first", "last", "place")).alias("rep")).select("key", "seg", "n", "rep.*"))
+    several = _small(cut(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")))
     # a piece that is alone under its anchor equals all its copies
-    alone = kinds.filter("kinds = 1").select("key", "seg", F.array(F.struct(F.lit(0).alias("start"), (F.col("last") - F.col("first") + length).cast("int").alias("stop"))).alias("ranges"))
-    ranges = alone.unionByName(_sorted(_fetched(kinds.filter((F.col("kinds") > 1) & (F.col("kinds") <= most)), units, length), length))
-    dense = kinds.filter(F.col("kinds") > most)
+    whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("last") - F.col("first") + length).cast("int").alias("stop")))
+    alone = kinds.join(several, "key", "left_anti").select("key", "seg", whole.alias("ranges"))
+    mixed = cut(kinds.join(several, "key"))
+    ranges = alone.unionByName(_sorted(_fetched(mixed.filter(F.col("kinds") <= most), units, length), length))
+    dense = mixed.filter(F.col("kinds") > most)
     if level + 1 < len(anchors) and not dense.isEmpty():
-        below = cut(_fetched(dense, units, length, True).dropDuplicates(["key", "seg"]).select(F.col("key").alias("u1"), F.col("seg").alias("u2"), "n", "data"))
+        below = saved(_fetched(dense, units, length, True).dropDuplicates(["key", "seg"]).select(F.col("key").alias("u1"), F.col("seg").alias("u2"), "n", "data"))
         deeper = _repeats(below, below, level + 1, length, anchors, most)
-        ranges = ranges.unionByName(deeper.groupBy("u1", "u2").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("ranges")).select(F.col("u1").alias("key"), F.col("u2").alias("seg"), "ranges"))
+        ranges = ranges.unionByName(saved(deeper).groupBy("u1", "u2").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("ranges")).select(F.col("u1").alias("key"), F.col("u2").alias("seg"), "ranges"))
     told = held.join(ranges, ["key", "seg"]).select("u1", "u2", "first", F.explode("ranges").alias("r"))
     return told.select("u1", "u2", (F.col("first") + F.col("r.start")).alias("start"), (F.col("first") + F.col("r.stop")).alias("stop"))
 
@@ -339,11 +358,18 @@ def merged(ranges: object) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = ANCHORS, most: int = MOST, with_kept: bool = True) -> DataFrame:
-    """doc_id, n_bytes, spans (start, stop), kept_sha256 and, if ``with_kept``,
-    the kept bytes of each row."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = ANCHORS, most: int = MOST, with_kept: bool = True, passage: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, spans (start, stop), kept_sha256, the kept bytes if
+    ``with_kept``, and if ``passage`` is given, ``passages``: the runs (start,
+    stop) of more than PASSAGE_WORDS words that repeat in strings of so many
+    bytes, of each row."""
     ranges = repeated_ranges(docs, length, anchors, most)
-    ids = docs.select("doc_id", F.xxhash64("doc_id").alias("u1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("u2"), F.coalesce("text", F.lit("")).alias("data"))
+    if passage:
+        more = repeated_ranges(docs, passage, PASSAGE_ANCHORS if passage == PASSAGE else (passage,), most)
+        ranges = ranges.join(more.withColumnRenamed("ranges", "more"), ["u1", "u2"], "full")
+    else:
+        ranges = ranges.withColumn("more", F.lit(None).cast("array<struct<start:int,stop:int>>"))
+    ids = docs.select("doc_id", F.xxhash64("doc_id").alias("u1"), text_hash().alias("u2"), F.coalesce("text", F.lit("")).alias("data"))
 
     def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         small = zstandard.ZstdCompressor(level=3).compress
@@ -356,25 +382,36 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ..
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_ = zstandard.ZstdDecompressor().decompress
+        named = lambda spans: [{"start": x, "stop": y} for x, y in spans]
         for b in batches:
             rows = []
-            for data, found in zip(b["data"], b["ranges"]):
+            for data, found, more in zip(b["data"], b["ranges"], b["more"]):
                 data, spans = open_(data), merged(found)
                 kept, at = [], 0
                 for x, y in spans:
                     kept.append(data[at:x])
                     at = y
                 left = b"".join([*kept, data[at:]])
-                rows.append((len(data), [{"start": x, "stop": y} for x, y in spans], hashlib.sha256(left).hexdigest(), left if with_kept else None))
-            out = pd.DataFrame(rows, columns=["n_bytes", "spans", "kept_sha256", "kept"])
+                long = [(x, y) for x, y in merged(more) if whole_words(data, x, y) > PASSAGE_WORDS]
+                rows.append((len(data), named(spans), hashlib.sha256(left).hexdigest(), left if with_kept else None, named(long)))
+            out = pd.DataFrame(rows, columns=["n_bytes", "spans", "kept_sha256", "kept", "passages"])
             out.insert(0, "doc_id", b["doc_id"].array)
             yield out
 
-    joined = units.join(ranges, ["u1", "u2"], "left").select("doc_id", "data", "ranges")
-    return joined.mapInPandas(work, f"doc_id {kind}, n_bytes bigint, spans array<struct<start:int,stop:int>>, kept_sha256 string, kept binary")
+    joined = units.join(ranges, ["u1", "u2"], "left").select("doc_id", "data", "ranges", "more")
+    spans = "array<struct<start:int,stop:int>>"
+    return joined.mapInPandas(work, f"doc_id {kind}, n_bytes bigint, spans {spans}, kept_sha256 string, kept binary, passages {spans}")
+
+
+def whole_words(data: bytes, start: int, stop: int) -> int:
+    """Words of a text that lie in a range as a whole."""
+    words = len(data[start:stop].split())
+    cut_first = start > 0 and not data[start - 1 : start].isspace() and not data[start : start + 1].isspace()
+    cut_last = stop < len(data) and not data[stop : stop + 1].isspace() and not data[stop - 1 : stop].isspace()
+    return words - cut_first - cut_last
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
+    done = remove_repeats(table(spark, sf_dir, "documents"), with_kept=False, passage=PASSAGE)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + s["stop"] - s["start"])
-    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", F.size("passages").cast("long").alias("n_passages"))

@@ -57,6 +57,15 @@ def test_suffix_dedup(spark, awkward, most):
     assert own == dict(enumerate(brute_repeats(awkward, 400)))
 
 
+def test_passages_of_more_than_fifty_words(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    long, short = text(51), text(48)
+    texts = [f"{text(9)} {long} {text(3)}", f"{text(20)} {long}", f"{text(9)} {short} {text(3)}", f"{short} {text(4)}", text(200), None]
+    got = suffix_dedup.remove_repeats(docs(spark, texts), passage=suffix_dedup.PASSAGE).collect()
+    assert {r.doc_id: (len(r.passages), len(r.spans)) for r in got} == {0: (1, 0), 1: (1, 0), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
+
+
 def test_columns_against_brute_force():
     rng = random.Random(0)
     for _ in range(40):
