@@ -57,30 +57,54 @@ def latest_filings(facts: DataFrame, as_of: dt.date) -> DataFrame:
     return known.filter("rn = 1").drop("rn")
 
 
+def _ranked(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """``place``: of the filings of one key, later periods and then later
+    filings have larger ones."""
+    order = Window.partitionBy(*keys).orderBy(F.asc("fiscal_period_end"), *oldest_first())
+    return facts.withColumn("place", F.row_number().over(order))
+
+
+def _answered(requests: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests and filings of a key in one sequence by date; each request
+    takes the filing of the largest place so far.  Nothing is joined, so the
+    work is that of sorting both sides once."""
+    known = _ranked(facts, keys).select(*keys, F.col("filed_date").alias("at"), F.lit(0).alias("asks"), F.struct("place", "value").alias("known"), F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"))
+    asked = requests.select(*keys, F.col("as_of_date").alias("at"), F.lit(1).alias("asks"), F.lit(None).cast(known.schema["known"].dataType).alias("known"), "request_id")
+    so_far = Window.partitionBy(*keys).orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = known.unionByName(asked).withColumn("last", F.max("known").over(so_far))
+    return both.filter("asks = 1").select("request_id", "ticker", "tag", F.col("at").alias("as_of_date"), F.col("last.value").alias("value"))
+
+
 def lookup(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """Batch of as-of lookups: ``requests`` (request_id, ticker, tag,
     as_of_date and, optionally, fiscal_period_end to pin a period) with the
     ``value`` known on the date: latest period, then latest filing; null if
     nothing was known."""
-    pinned = "fiscal_period_end" in requests.columns
-    r = requests.select("request_id", F.upper("ticker").alias("ticker"), "tag", "as_of_date", *([F.col("fiscal_period_end").alias("pin")] if pinned else []))
+    pin = ["fiscal_period_end"] if "fiscal_period_end" in requests.columns else []
+    r = requests.select("request_id", F.upper("ticker").alias("ticker"), "tag", "as_of_date", *pin)
     f = facts.select("ticker", "tag", "fiscal_period_end", "filed_date", "start_date", "unit", "value")
-    on = [r.ticker == f.ticker, r.tag == f.tag, f.filed_date <= r.as_of_date]
-    if pinned:
-        on.append(r.pin.isNull() | (f.fiscal_period_end == r.pin))
-    joined = r.join(f, on, "left").select("request_id", r.ticker, r.tag, "as_of_date", "fiscal_period_end", "filed_date", "start_date", "unit", "value")
-    order = F.struct("fiscal_period_end", "filed_date", F.coalesce(F.col("start_date"), F.to_date(F.lit("0001-01-01"))).alias("s"), "value")
-    return joined.groupBy("request_id", "ticker", "tag", "as_of_date").agg(F.max_by("value", F.when(F.col("filed_date").isNotNull(), order)).alias("value"))
+    if not pin:
+        return _answered(r, f, ["ticker", "tag"])
+    free = _answered(r.filter("fiscal_period_end IS NULL"), f, ["ticker", "tag"])
+    return free.unionByName(_answered(r.filter("fiscal_period_end IS NOT NULL"), f, ["ticker", "tag", "fiscal_period_end"]))
 
 
 def snapshot_long(facts: DataFrame, dates: list[dt.date], tags: list[str] = TAGS, periods: int = 2) -> DataFrame:
     """as_of_date, ticker, tag, period_rank (1: latest annual period known),
-    fiscal_period_end and value, for every date."""
+    fiscal_period_end and value, for every date.
+
+    A filing is valid until the next one of its period, and no longer than
+    until ``periods`` later periods are known, so that a date meets no more
+    than ``periods`` filings of a ticker and tag."""
     annual = facts.filter(F.col("tag").isin(tags) & annual_filter()).repartition("ticker")
-    following = F.lead("filed_date").over(Window.partitionBy("ticker", "tag", "fiscal_period_end").orderBy(*oldest_first()))
+    period = Window.partitionBy("ticker", "tag", "fiscal_period_end")
+    following = F.lead("filed_date").over(period.orderBy(*oldest_first()))
+    later = Window.partitionBy("ticker", "tag").orderBy(F.unix_date("fiscal_period_end").cast("long").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    firsts = F.array_sort(F.collect_set(F.struct("first_filed", "fiscal_period_end")).over(later))
     calendar = F.array(*[F.lit(d) for d in sorted(dates)])
     held = F.filter(calendar, lambda d: (d >= F.col("filed_date")) & (F.col("until").isNull() | (d < F.col("until"))))
-    each = annual.withColumn("until", following).select("ticker", "tag", "fiscal_period_end", "value", F.explode(held).alias("as_of_date"))
+    valid = annual.withColumns({"next": following, "first_filed": F.min("filed_date").over(period)}).withColumn("until", F.least("next", F.get(firsts, F.lit(periods - 1))["first_filed"]))
+    each = valid.select("ticker", "tag", "fiscal_period_end", "value", F.explode(held).alias("as_of_date"))
     rank = F.row_number().over(Window.partitionBy("ticker", "tag", "as_of_date").orderBy(F.desc("fiscal_period_end")))
     return each.withColumn("period_rank", rank).filter(F.col("period_rank") <= periods)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import oracle as O
 from .operators import asof, composite, membership, portfolios, prices, scores, seriesstats
 from .plans import backtest
+from .plans.storage import materialised, shared_folder
 from .schema import FEATURES, SCORES
 from .sources import fixtures as X
 
@@ -158,7 +159,7 @@ def _panel(spark, d, gated: bool = False) -> DataFrame:
 
 def _book(spark, d) -> DataFrame:
     p = _panel(spark, d).withColumn("composite_score", F.round(scores.equal_weight(), 9))
-    return portfolios.form_buckets(p, "composite_score")
+    return materialised(portfolios.form_buckets(p, "composite_score"))
 
 
 @query("i1_i3_scores", O.sql(f"SELECT as_of_date, ticker, f_score, {rs('z_score', 'o_score')} FROM scores", "scores"))
@@ -500,13 +501,13 @@ def j18(spark, d):
 
 _BOOT = """bs AS (SELECT series, date, ret, market, row_number() OVER (PARTITION BY series ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM brand JOIN market USING (date)),
 nn AS (SELECT series, any_value(n) AS n FROM bs GROUP BY series),
-dr AS (SELECT series, rep, (('0x' || substr(md5('0|' || rep || '|' || b), 1, 8))::bigint % n + k) % n AS at FROM nn, range(200) r(rep), LATERAL (SELECT unnest(range(ceil(n / 6.0)::bigint)) AS b), range(6) t(k) WHERE b * 6 + k < n),
+dr AS (SELECT series, rep, (('0x' || substr(md5('0|' || rep || '|' || b), 1, 8))::bigint % n + k) % n AS at FROM nn, range(5000) r(rep), LATERAL (SELECT unnest(range(ceil(n / 6.0)::bigint)) AS b), range(6) t(k) WHERE b * 6 + k < n),
 ev AS (SELECT series, rep, avg(ret) AS mean, stddev_samp(ret) AS sd, avg(market) AS mm, covar_samp(ret, market) / var_samp(market) AS beta FROM dr JOIN bs USING (series) WHERE bs.i = dr.at GROUP BY series, rep)"""
 
 
 @query("j20_block_bootstrap", _with(_BOOT, "SELECT series, " + ", ".join(f"round(quantile_cont({e}, {p}), 6) AS {n}_{s}" for n, e in (("ann_mean", "mean * 12"), ("ann_sharpe", "mean / sd * sqrt(12)"), ("ann_alpha", "(mean - beta * mm) * 12")) for s, p in (("lo", 0.025), ("hi", 0.975))) + ", round(avg((mean <= 0)::int::double), 6) AS p_value FROM ev GROUP BY series", "brand", "market"))
 def j20(spark, d):
-    return rounded(seriesstats.block_bootstrap(_market(X.brand_returns(spark, d)), ["series"], "ret", "market", reps=200))
+    return rounded(seriesstats.block_bootstrap(_market(X.brand_returns(spark, d)), ["series"], "ret", "market", reps=5000))
 
 
 @query("j19_horizon_table", _with(_HORIZON + ",\nhs AS (SELECT horizon, as_of_date AS date, spread AS ret FROM h WHERE spread IS NOT NULL)", "SELECT horizon, n AS obs, round(mean, 6) AS mean_spread, round(CASE WHEN mean > -1 THEN pow(1 + mean, 12.0::double / horizon) - 1 END, 6) AS annualized, round(nw_tstat, 6) AS nw_tstat, nw_lag FROM (" + O.newey_west("hs", "horizon", "horizon - 1") + ") WHERE n >= 12", "book", "returns"))
@@ -572,16 +573,15 @@ def a1(spark, d):
 
 @query("l1_stream_ingest", O.sql("SELECT cik, ticker, tag, fiscal_period_end, filed_date, round(value, 4) AS value, filed_date > min(filed_date) OVER (PARTITION BY cik, tag, fiscal_period_end) AS is_restatement FROM facts", "facts"))
 def l1(spark, d):
-    """Facts landed by filing year, streamed in, with one year delivered twice."""
-    import tempfile
+    """Facts landed by ticker, streamed in, with one year delivered twice."""
     import uuid
 
     from .streaming import ingest as L
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")) + f"/ingest-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     f = X.facts(spark, d)
-    f.repartition(F.year("filed_date")).write.parquet(f"{base}/landed")
-    f.filter(F.year("filed_date") == 1999).coalesce(1).write.mode("append").parquet(f"{base}/landed")
+    f.repartition("ticker").write.parquet(f"{base}/landed")
+    f.filter(F.year("filed_date") == 1999).repartition("ticker").write.mode("append").parquet(f"{base}/landed")
     L.ingest(spark, f"{base}/landed", f"{base}/table", f"{base}/checkpoint")
     return L.current_facts(spark, f"{base}/table").select("cik", "ticker", "tag", "fiscal_period_end", "filed_date", r("value", 4).alias("value"), "is_restatement")
 
