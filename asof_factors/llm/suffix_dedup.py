@@ -25,6 +25,10 @@ An anchor with more than ``MOST`` distinct pieces (a passage shared by very
 many documents) would fill one task; its pieces are anchored anew with a
 longer q instead, until q is LENGTH, where pieces of one anchor are identical.
 
+Most anchors occur once.  A bitmap of the hashes of the others, of a fixed size,
+goes to the tasks, so that most pieces that no join would keep are never
+shuffled; as it fills up it lets more pass, and an exact join follows.
+
 Pieces that are alone under their anchor are not sorted: all copies of such a
 piece are equal, so it is repeated from end to end.  The column files lie in
 the task's own temporary folder; a task that is lost builds them again.
@@ -49,7 +53,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, saved, table, text_hash
@@ -60,6 +64,8 @@ ANCHORS = (128, 264, 332, 366, 383, 392, 396, 398, 399, 400)
 #: A passage has more than so many words, and no fewer bytes than this.
 PASSAGE_WORDS, PASSAGE = 50, 200
 PASSAGE_ANCHORS = (64, 132, 166, 183, 192, 196, 198, 199, 200)
+#: A sieve has 2 ** SIEVE bits (4 MB), whatever the table's size.
+SIEVE = 25
 #: Anchors or documents that are looked up by broadcast, at most (8 or 16 bytes each).
 BROADCAST_ROWS = 1_000_000
 #: Distinct pieces of one anchor that one task sorts, at most.
@@ -119,6 +125,21 @@ def all_pieces(data: bytes, q: int, known: dict[str, np.ndarray], length: int =
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def sieve(keys: Column, rows: DataFrame) -> np.ndarray:
+    """Bitmap of the long ``keys`` of ``rows``: at most 2 ** (SIEVE - 6) longs."""
+    at = F.shiftrightunsigned(keys, 64 - SIEVE)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    words = rows.select(F.floor(at / 64).cast("int").alias("i"), bit.alias("bit")).groupBy("i").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (SIEVE - 6), np.int64)
+    out[words["i"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def passes(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    at = keys >> np.uint64(64 - SIEVE)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
 def unpacked(docs: DataFrame) -> DataFrame:
     """u1, u2 (hashes of doc_id and text), n = 1 and the text."""
     text = F.coalesce("text", F.lit(""))
@@ -137,8 +158,10 @@ def packed(docs: DataFrame) -> DataFrame:
     return unpacked(docs).mapInPandas(work, "u1 bigint, u2 bigint, n bigint, data binary")
 
 
-def _anchored(units: DataFrame, q: int, length: int) -> DataFrame:
-    """u1, u2, n, key, seg, first, last, place of each piece of ``units`` (u1, u2, n, data)."""
+def _anchored(units: DataFrame, q: int, length: int, often: DataFrame) -> DataFrame:
+    """u1, u2, n, key, seg, first, last, place of the pieces of ``units`` (u1,
+    u2, n, data) whose anchor is in ``often``, and of a few others."""
+    sent = units.sparkSession.sparkContext.broadcast(sieve(F.col("key"), often))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, np.ndarray] = {}
@@ -148,6 +171,8 @@ def _anchored(units: DataFrame, q: int, length: int) -> DataFrame:
             for u1, u2, n, data in zip(b["u1"], b["u2"], b["n"], b["data"]):
                 data = data.encode("utf-8", "replace") if isinstance(data, str) else open_(data)
                 key, first, last, place = all_pieces(data, q, known, length)
+                keep = passes(key, sent.value)
+                key, first, last, place = key[keep], first[keep], last[keep], place[keep]
                 if len(key):
                     seg = np.array([digest(data[x:y]) for x, y in zip(first.tolist(), (last + length).tolist())], dtype=np.uint64)
                     size = len(key)
@@ -324,7 +349,7 @@ def _repeats(source: DataFrame, units: DataFrame, level: int, length: int, ancho
     q = anchors[level]
     # cut, so that both sides of the join are dealt anew and hot anchors can be split
     often = cut(_counted(source, q, length).filter("n > 1").select("key"))
-    held = cut(_anchored(source, q, length).join(_small(often), "key"))
+    held = cut(_anchored(source, q, length, often).join(often, "key"))
     kinds = cut(held.groupBy("key", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("u1", "u2", "first", "last", "place")).alias("rep")).select("key", "seg", "n", "rep.*"))
     several = _small(cut(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")))
     # a piece that is alone under its anchor equals all its copies
@@ -369,38 +394,52 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchors: tuple[int, ..
         ranges = ranges.join(more.withColumnRenamed("ranges", "more"), ["u1", "u2"], "full")
     else:
         ranges = ranges.withColumn("more", F.lit(None).cast("array<struct<start:int,stop:int>>"))
-    ids = docs.select("doc_id", F.xxhash64("doc_id").alias("u1"), text_hash().alias("u2"), F.coalesce("text", F.lit("")).alias("data"))
+    ranges = cut(ranges)
+    mixed = F.xxhash64("u1", "u2")
+    sent = docs.sparkSession.sparkContext.broadcast(sieve(mixed, ranges))
+    ids = docs.select("doc_id", F.xxhash64("doc_id").alias("u1"), text_hash().alias("u2"), F.coalesce("text", F.lit("")).alias("data")).withColumn("mixed", mixed)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    spans = "array<struct<start:int,stop:int>>"
+    result = f"n_bytes bigint, spans {spans}, kept_sha256 string, kept binary, passages {spans}"
+    names = ["n_bytes", "spans", "kept_sha256", "kept", "passages"]
 
-    def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def solved(data: bytes, found: object, more: object) -> tuple:
+        named = lambda spans: [{"start": x, "stop": y} for x, y in spans]
+        spans = merged(found)
+        kept, at = [], 0
+        for x, y in spans:
+            kept.append(data[at:x])
+            at = y
+        left = b"".join([*kept, data[at:]])
+        long = [(x, y) for x, y in merged(more) if whole_words(data, x, y) > PASSAGE_WORDS]
+        return len(data), named(spans), hashlib.sha256(left).hexdigest(), left if with_kept else None, named(long)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows that surely have no ranges are done; texts of others are packed."""
         small = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            b["data"] = [small(x.encode("utf-8", "replace")) for x in b["data"]]
-            yield b
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    units = ids.mapInPandas(squeeze, f"doc_id {kind}, u1 bigint, u2 bigint, data binary")
+            meets = passes(b["mixed"].to_numpy(np.int64).view(np.uint64), sent.value)
+            rows = []
+            for x, m in zip(b["data"], meets):
+                x = x.encode("utf-8", "replace")
+                rows.append((small(x), None, None, None, None, None) if m else (None, *solved(x, None, None)))
+            out = pd.DataFrame(rows, columns=["data", *names])
+            out["n_bytes"] = out["n_bytes"].astype("Int64")
+            for k, c in enumerate(("doc_id", "u1", "u2")):
+                out.insert(k, c, b[c].array)
+            yield out
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_ = zstandard.ZstdDecompressor().decompress
-        named = lambda spans: [{"start": x, "stop": y} for x, y in spans]
         for b in batches:
-            rows = []
-            for data, found, more in zip(b["data"], b["ranges"], b["more"]):
-                data, spans = open_(data), merged(found)
-                kept, at = [], 0
-                for x, y in spans:
-                    kept.append(data[at:x])
-                    at = y
-                left = b"".join([*kept, data[at:]])
-                long = [(x, y) for x, y in merged(more) if whole_words(data, x, y) > PASSAGE_WORDS]
-                rows.append((len(data), named(spans), hashlib.sha256(left).hexdigest(), left if with_kept else None, named(long)))
-            out = pd.DataFrame(rows, columns=["n_bytes", "spans", "kept_sha256", "kept", "passages"])
+            out = pd.DataFrame([solved(open_(data), found, more) for data, found, more in zip(b["data"], b["ranges"], b["more"])], columns=names)
             out.insert(0, "doc_id", b["doc_id"].array)
             yield out
 
-    joined = units.join(ranges, ["u1", "u2"], "left").select("doc_id", "data", "ranges", "more")
-    spans = "array<struct<start:int,stop:int>>"
-    return joined.mapInPandas(work, f"doc_id {kind}, n_bytes bigint, spans {spans}, kept_sha256 string, kept binary, passages {spans}")
+    # read twice below, and dealt out by its text only where it may have ranges
+    begun = cut(ids.mapInPandas(first, f"doc_id {kind}, u1 bigint, u2 bigint, data binary, {result}"))
+    joined = begun.filter("data IS NOT NULL").join(ranges, ["u1", "u2"], "left").select("doc_id", "data", "ranges", "more")
+    return begun.filter("data IS NULL").select("doc_id", *names).unionByName(joined.mapInPandas(work, f"doc_id {kind}, {result}"))
 
 
 def whole_words(data: bytes, start: int, stop: int) -> int:
