@@ -69,6 +69,19 @@ def contributions(panel: DataFrame, n: int = N_BUCKETS) -> DataFrame:
     return _legs(panel, n).select("as_of_date", "ticker", "sector", "decile", "fwd_ret_1m", (sign * F.col("fwd_ret_1m") / F.col("size")).alias("contribution"))
 
 
+def top_contributors(panel: DataFrame, k: int, n: int = N_BUCKETS) -> DataFrame:
+    """The ``k`` largest contributions by size of each date, the largest first;
+    those that agree in nine decimals by ticker."""
+    order = Window.partitionBy("as_of_date").orderBy(F.round(F.abs("contribution"), 9).desc_nulls_last(), "ticker")
+    return contributions(panel, n).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+
+def company_history(bucketed: DataFrame, tickers: list[str]) -> DataFrame:
+    """Scores, composite and bucket of some names at every date, in order."""
+    x = bucketed.filter(F.col("ticker").isin([t.upper() for t in tickers]))
+    return x.select("ticker", "as_of_date", "f_score", "z_score", "o_score", "composite_score", "decile").orderBy("ticker", "as_of_date")
+
+
 def month_buckets(panel: DataFrame, n: int = N_BUCKETS) -> DataFrame:
     """Names, mean and median return of the end buckets at each date."""
     return ranked(panel).filter(F.col("decile").isin(1, n)).groupBy("as_of_date", "decile").agg(F.count(F.lit(1)).alias("names"), F.avg("fwd_ret_1m").alias("mean"), F.median("fwd_ret_1m").alias("median"))

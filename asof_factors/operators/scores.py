@@ -144,6 +144,13 @@ def apply_screens(section: DataFrame, keys: list[str]) -> DataFrame:
     return section.filter(all_true([SCREENS[k]() for k in keys]))
 
 
+def screen_counts(panel: DataFrame) -> DataFrame:
+    """Names that pass each screen at each date, in one aggregation."""
+    passed = F.array(*[F.struct(F.lit(k).alias("screen"), F.coalesce(c(), F.lit(False)).alias("passed")) for k, c in SCREENS.items()])
+    each = panel.select("as_of_date", F.explode(passed).alias("x"))
+    return each.groupBy("x.screen", "as_of_date").agg(F.count_if("x.passed").alias("names"))
+
+
 def latest_section(panel: DataFrame) -> DataFrame:
     """The panel's last date with implied default probabilities, best first."""
     last = panel.agg(F.max("as_of_date").alias("as_of_date"))

@@ -115,23 +115,28 @@ def costs_input(bucketed: DataFrame, n: int = N_BUCKETS) -> DataFrame:
     return s.join(legs.select("as_of_date", traded.alias("traded")), "as_of_date", "left").select(F.col("as_of_date").alias("date"), F.col("spread").alias("ret"), "traded")
 
 
+def leg_table(bucketed: DataFrame, n: int = N_BUCKETS, least: int = 24) -> DataFrame:
+    """Statistics of the spread, of its legs against the market and of the
+    raw series, whose Sharpe ratios are not tested."""
+    legs = portfolios.leg_decomposition(bucketed, n).withColumnRenamed("as_of_date", "date").withColumn("run", F.lit("run"))
+    long = legs.unpivot(["run", "date"], ["spread", "long_excess", "short_excess", "top", "market"], "leg", "ret")
+    raw = F.col("leg").isin("top", "market")
+    return seriesstats.series_stats(long, ["run", "leg"], least=least).withColumns({"psr_stat": F.when(~raw, F.col("psr_stat")), "survives_95": F.when(~raw, F.col("survives_95"))})
+
+
 def report(bucketed: DataFrame, prices: DataFrame, n: int = N_BUCKETS, least: int = 24, horizons: tuple[int, ...] = (1, 3, 6, 12)) -> dict[str, DataFrame]:
     """The tables of a research report on one run."""
     key = lambda d: d.withColumn("run", F.lit("run"))
     legs = key(portfolios.leg_decomposition(bucketed, n)).withColumnRenamed("as_of_date", "date")
     s = legs.select("run", "date", F.col("spread").alias("ret"))
     costs = key(costs_input(bucketed, n))
-    names = ["spread", "long_excess", "short_excess", "top", "market"]
-    long = legs.unpivot(["run", "date"], names, "leg", "ret")
-    raw = F.col("leg").isin("top", "market")
-    leg_table = seriesstats.series_stats(long, ["run", "leg"], least=least).withColumns({"psr_stat": F.when(~raw, F.col("psr_stat")), "survives_95": F.when(~raw, F.col("survives_95"))})
     ahead = portfolios.horizon_spreads(bucketed, forward_returns(prices, list(horizons)), list(horizons), n)
     ahead = key(ahead).select("run", "horizon", F.col("as_of_date").alias("date"), F.col("spread").alias("ret"))
     return {
         "summary": validate(bucketed, n, least),
         "robustness": seriesstats.robustness(s, ["run"], drop_top=3, drop_bottom=3),
         "costs": seriesstats.cost_table(costs, ["run"], [0, 10, 25, 50]),
-        "legs": leg_table,
+        "legs": leg_table(bucketed, n, least),
         "horizons": seriesstats.horizon_table(ahead, ["run"], least),
         "sectors": portfolios.sector_attribution(bucketed, n),
     }

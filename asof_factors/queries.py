@@ -41,9 +41,15 @@ DATES = {
     "e13_cumulative": ["date"],
     "j8_training_moments": ["refit_date"],
     "a1_company_facts": ["fiscal_period_end", "start_date", "filed_date"],
+    "k5_bse_facts": ["fiscal_period_end", "start_date", "filed_date"],
+    "k5_cvm_facts": ["fiscal_period_end", "start_date", "filed_date"],
+    "a19_replaced_facts": ["fiscal_period_end", "filed_date"],
+    "a22_registry_batch": [],
+    "b4_restricted_facts": ["fiscal_period_end", "filed_date"],
+    "b5_pinned_lookup": ["fiscal_period_end", "as_of_date"],
     "l1_stream_ingest": ["fiscal_period_end", "filed_date"],
 }
-UNDATED = {"n7_filing_lags", "n6_tag_coverage", "b14_latest_section", "g6_universe_overlap", "n1_drawdowns", "f7_liquid_universe", "d8_sector_attribution", "d12_sector_heatmap", "d13_score_return_line", "j13_breakeven_cost", "n3_bucket_gradient"}
+UNDATED = {"k6_compare_runs", "n9_twin_correlation", "g3_listing_membership", "n7_filing_lags", "n6_tag_coverage", "b14_latest_section", "g6_universe_overlap", "n1_drawdowns", "f7_liquid_universe", "d8_sector_attribution", "d12_sector_heatmap", "d13_score_return_line", "j13_breakeven_cost", "n3_bucket_gradient"}
 
 
 def query(name: str, sql: str | None = None):
@@ -187,10 +193,36 @@ def n6(spark, d):
     return rounded(scores.tag_coverage(asof.snapshot(X.facts(spark, d), X.DATES), O.HELD))
 
 
-@query("b8_screens", O.sql("SELECT as_of_date, ticker, sector, f_score, round(z_score, 6) AS z_score FROM panel WHERE f_score >= 7 AND z_score > 2.99 AND o_score < 0", "panel"))
+@query("b8_screens", O.sql("SELECT screen, as_of_date, count(*) FILTER (ok) AS names FROM scores, LATERAL (VALUES ('f_high', f_score >= 8), ('f_low', f_score <= 2), ('z_safe', z_score > 2.99), ('z_grey', z_score >= 1.81 AND z_score <= 2.99), ('z_distress', z_score < 1.81), ('o_safe', o_score < 0), ('o_risk', o_score > 0)) t(screen, ok) GROUP BY screen, as_of_date", "scores"))
 def b8(spark, d):
-    p = _panel(spark, d)
-    return rounded(scores.apply_screens(p.filter("f_score >= 7"), ["z_safe", "o_safe"]).select("as_of_date", "ticker", "sector", "f_score", "z_score"))
+    return scores.screen_counts(_panel(spark, d))
+
+
+@query("b8_screened_names", O.sql("SELECT as_of_date, ticker, f_score, round(z_score, 6) AS z_score FROM scores WHERE f_score >= 8 AND z_score > 2.99 AND o_score < 0", "scores"))
+def b8_names(spark, d):
+    return rounded(scores.apply_screens(_panel(spark, d), ["f_high", "z_safe", "o_safe"]).select("as_of_date", "ticker", "f_score", "z_score"))
+
+
+@query("b4_restricted_facts", O.sql("SELECT ticker, tag, fiscal_period_end, filed_date, round(value, 4) AS value FROM facts WHERE tag IN ('Revenues', 'Assets') AND ticker IN (SELECT 'P' || p_partkey FROM part WHERE p_size < 10)", "facts"))
+def b4(spark, d):
+    names = X.table(spark, d, "part").filter("p_size < 10").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("ticker"))
+    return asof.restrict(X.facts(spark, d), names, ["Revenues", "Assets"]).select("ticker", "tag", "fiscal_period_end", "filed_date", r("value", 4).alias("value"))
+
+
+@query(
+    "b5_pinned_lookup",
+    O.sql(
+        """SELECT p.ticker, p.tag, p.fiscal_period_end, p.as_of_date, round((SELECT max_by(value, filed_date) FROM facts f WHERE f.ticker = p.ticker AND f.tag = p.tag AND f.fiscal_period_end = p.fiscal_period_end AND f.filed_date <= p.as_of_date), 4) AS value
+FROM (SELECT DISTINCT ticker, tag, fiscal_period_end, d AS as_of_date FROM facts, (VALUES (DATE '1998-06-30'), (DATE '2000-12-31')) t(d) WHERE tag = 'Revenues') p""",
+        "facts",
+    ),
+)
+def b5(spark, d):
+    f = X.facts(spark, d)
+    days = F.explode(F.array(F.lit(dt.date(1998, 6, 30)), F.lit(dt.date(2000, 12, 31))))
+    asked = f.filter("tag = 'Revenues'").select("ticker", "tag", "fiscal_period_end").distinct().select("*", days.alias("as_of_date"))
+    asked = asked.withColumn("request_id", F.struct("fiscal_period_end", "ticker", "as_of_date"))
+    return asof.lookup(asked, f).select("ticker", "tag", F.col("request_id.fiscal_period_end").alias("fiscal_period_end"), "as_of_date", r("value", 4).alias("value"))
 
 
 @query("b14_latest_section", O.sql("SELECT ticker, sector, decile, round(composite_score, 6) AS composite_score, round(1 / (1 + exp(-o_score)), 4) AS p_default FROM book WHERE as_of_date = (SELECT max(as_of_date) FROM book)", "book"))
@@ -401,6 +433,56 @@ def n3(spark, d):
     return rounded(portfolios.bucket_gradient(_book(spark, d)))
 
 
+@query("b15_company_history", O.sql("SELECT ticker, as_of_date, f_score, round(z_score, 6) AS z_score, round(o_score, 6) AS o_score, round(composite_score, 6) AS composite_score, decile FROM book WHERE ticker IN ('P1', 'P7')", "book"))
+def b15(spark, d):
+    return rounded(portfolios.company_history(_book(spark, d), ["p1", "P7"]))
+
+
+@query("f4_top_contributors", _with(_CONTRIB, "SELECT as_of_date, ticker, place, round(contribution, 8) AS contribution FROM (SELECT *, row_number() OVER (PARTITION BY as_of_date ORDER BY round(abs(contribution), 9) DESC, ticker)::int AS place FROM c) WHERE place <= 5", "ranked"))
+def f4(spark, d):
+    b = _book(spark, d)
+    top = portfolios.top_contributors(b, 5)
+    return top.select("as_of_date", "ticker", "place", F.round("contribution", 8).alias("contribution"))
+
+
+@query("k2_screen_run", _with("sr AS (SELECT *, (round(f_score_z, 9) + round(z_score_z, 9) + round(o_score_z, 9)) / 3 AS score FROM panel)", "SELECT as_of_date, ticker, round(score, 6) AS composite_score, " + O.buckets("score", 5) + " AS decile FROM sr", "panel"))
+def k2(spark, d):
+    done = backtest.screen_run(_rounded_features(_panel(spark, d)), 5)
+    return rounded(done.select("as_of_date", "ticker", "composite_score", "decile"))
+
+
+_TWINS = """gz AS (SELECT s.* FROM sectored s WHERE EXISTS (SELECT 1 FROM membership m WHERE m.ticker = s.ticker AND (start_date IS NULL OR start_date <= as_of_date) AND (end_date IS NULL OR end_date > as_of_date))),
+zz AS (SELECT *, """ + ", ".join(O._zs) + """ FROM gz WINDOW sec AS (PARTITION BY as_of_date, sector), al AS (PARTITION BY as_of_date)),
+zc AS (SELECT zz.*, round((f_score_z + z_score_z + o_score_z) / 3, 9) AS composite_score, r1.ret AS fwd_ret_1m FROM zz LEFT JOIN returns r1 ON r1.ticker = zz.ticker AND r1.mi = year(as_of_date) * 12 + month(as_of_date) + 1),
+cb AS (SELECT *, """ + O.buckets("composite_score") + """ AS decile FROM zc),
+twins AS (SELECT run, as_of_date AS date, avg(fwd_ret_1m) FILTER (decile = 10) - avg(fwd_ret_1m) FILTER (decile = 1) AS ret FROM (SELECT 'static' AS run, as_of_date, decile, fwd_ret_1m FROM book UNION ALL SELECT 'corrected', as_of_date, decile, fwd_ret_1m FROM cb) WHERE decile IN (1, 10) GROUP BY run, as_of_date)"""
+
+
+def _twins(spark, d) -> dict[str, DataFrame]:
+    p = _panel(spark, d, gated=True).withColumn("composite_score", F.round(scores.equal_weight(), 9))
+    return {"static": _book(spark, d), "corrected": materialised(portfolios.form_buckets(p, "composite_score"))}
+
+
+@query("k6_compare_runs", _with(_TWINS, "SELECT run, CAST(date AS VARCHAR) AS date, round(product(1 + ret) OVER (PARTITION BY run ORDER BY date) - 1, 6) AS cum_ret FROM twins WHERE ret IS NOT NULL", "book", "sectored", "membership", "returns"))
+def k6(spark, d):
+    return rounded(backtest.compare_runs(_twins(spark, d)))
+
+
+@query("n9_twin_correlation", _with(_TWINS, "SELECT 'composite' AS strategy, round(corr(s.ret, c.ret), 6) AS corr, round(avg(c.ret - s.ret), 6) AS mean_delta, count(*) AS n FROM twins s JOIN twins c USING (date) WHERE s.run = 'static' AND c.run = 'corrected' AND s.ret IS NOT NULL AND c.ret IS NOT NULL", "book", "sectored", "membership", "returns"))
+def n9(spark, d):
+    series = {k: portfolios.spread(b).filter("spread IS NOT NULL").select(F.lit("composite").alias("strategy"), F.col("as_of_date").alias("date"), F.col("spread").alias("ret")) for k, b in _twins(spark, d).items()}
+    return rounded(backtest.twin_correlation(series["static"], series["corrected"]))
+
+
+_LEGS = "lg AS (SELECT leg, as_of_date AS date, ret FROM legs, LATERAL (VALUES ('spread', spread), ('long_excess', long_excess), ('short_excess', short_excess), ('top', top), ('market', market)) t(leg, ret))"
+
+
+@query("j16_leg_table", _with(_LEGS, "SELECT leg, months, ann_return, nw_tstat, CASE WHEN leg NOT IN ('top', 'market') THEN psr_stat END AS psr_stat, CASE WHEN leg NOT IN ('top', 'market') THEN survives_95 END AS survives_95 FROM (@STATS)", "legs"))
+def j16(spark, d):
+    t = backtest.leg_table(_book(spark, d), least=12)
+    return rounded(t.select("leg", "months", "ann_return", "nw_tstat", "psr_stat", "survives_95"))
+
+
 @query("c20_watchlist", O.sql("SELECT ticker, max(as_of_date) AS as_of_date, round(max_by(composite_score, as_of_date), 6) AS composite_score, max_by(decile, as_of_date) AS decile, (SELECT max_by(decile, as_of_date) FROM book o WHERE o.ticker = b.ticker AND o.as_of_date <= DATE '2000-09-30') AS decile_12m_ago FROM (SELECT *, true AS k FROM book WHERE composite_score IS NOT NULL AND decile IS NOT NULL) b WHERE ticker IN ('P1', 'P7', 'P12') GROUP BY ticker", "book").replace("FROM book o WHERE o.ticker", "FROM book o WHERE o.composite_score IS NOT NULL AND o.decile IS NOT NULL AND o.ticker"))
 def c20(spark, d):
     b = _book(spark, d).filter("composite_score IS NOT NULL AND decile IS NOT NULL")
@@ -469,6 +551,9 @@ def _stats_sql(source: str, key: str) -> str:
     return f"SELECT {key}, d.n AS months, round(pow(1 + d.mean, 12) - 1, 6) AS ann_return, round(nw_tstat, 6) AS nw_tstat, round(psr_stat, 6) AS psr_stat, psr_stat > {O.CUT_95!r} AS survives_95 FROM ({O.sharpe(source, key)}) d JOIN ({O.newey_west(source, key)}) t USING ({key})"
 
 
+SQL["j16_leg_table"] = SQL["j16_leg_table"].replace("@STATS", _stats_sql("lg", "leg"))
+
+
 @query("j11_robustness", _with(_ROBUST, "SELECT split_part(k, '|', 1) AS series, split_part(k, '|', 2) AS scenario, * EXCLUDE (k) FROM (" + _stats_sql("sc", "k") + ")", "brand"))
 def j11(spark, d):
     t = seriesstats.robustness(X.brand_returns(spark, d), ["series"], drop_top=3, drop_bottom=3)
@@ -571,6 +656,54 @@ def a1(spark, d):
     return f.select("cik", "ticker", "tag", "fiscal_period_end", "start_date", "filed_date", r("value", 4).alias("value"), "is_restatement")
 
 
+@query("a22_registry_batch", "SELECT 'P' || p_partkey AS ticker, lpad(p_partkey::varchar, 10, '0') AS cik FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 7 <> 0 ORDER BY 1 LIMIT 50")
+def a22(spark, d):
+    """Every fourth name is unknown to the registry, every seventh held already."""
+    from .sources import filings as S
+
+    k = F.col("p_partkey")
+    p = X.table(spark, d, "part").select(F.concat(F.lit("P"), k.cast("string")).alias("ticker"), k.alias("cik_str"))
+    listed = S.ticker_cik_map(p.filter("cik_str % 4 <> 0"))
+    log = p.filter("cik_str % 7 = 0").select(F.lpad(F.col("cik_str").cast("string"), 10, "0").alias("cik"), "ticker")
+    return S.registry_batch(p.select(F.lower("ticker").alias("ticker")), listed, log, 50)
+
+
+@query("a19_replaced_facts", O.sql("SELECT cik, tag, fiscal_period_end, filed_date, round(CASE WHEN cik LIKE '%7' THEN value * 2 ELSE value END, 4) AS value FROM facts", "facts"))
+def a19(spark, d):
+    f = X.facts(spark, d)
+    new = f.filter(F.col("cik").like("%7")).withColumn("value", F.col("value") * 2)
+    return backtest.replace_facts(f, new, ["cik"]).select("cik", "tag", "fiscal_period_end", "filed_date", r("value", 4).alias("value"))
+
+
+_BSE = """, b AS (SELECT entity, fy, make_date(fy + 1, 3, 31) AS period_end, tag, st, value FROM yearly, LATERAL (VALUES ('Assets', 'bs', round(1.5::double * rev + 2000 * size, 4)), ('StockholdersEquity', 'bs', CASE WHEN entity % 4 <> 0 THEN round(0.6::double * rev, 4) ELSE round(0.5::double * rev, 4) END), ('CommonStockSharesOutstanding', 'bs', 1000 + n * size), ('Revenues', 'is', rev), ('NetCashProvidedByUsedInOperatingActivities', 'cf', round(rev - cogs, 4))) t(tag, st, value) WHERE v = 2),
+fl AS (SELECT DISTINCT entity, make_date(fy + 1, 3, 31) + (entity % 8 * 30)::int AS filed FROM yearly WHERE v = 2),
+fd AS (SELECT b.entity, b.fy, min(filed) AS filed_date FROM (SELECT DISTINCT entity, fy, period_end FROM b) b JOIN fl ON fl.entity = b.entity AND filed > period_end GROUP BY b.entity, b.fy, period_end HAVING min(filed) - period_end <= 180)
+SELECT b.entity::varchar AS cik, 'P' || b.entity AS ticker, tag, period_end AS fiscal_period_end, CASE WHEN st <> 'bs' THEN make_date(b.fy, 4, 1) END AS start_date, filed_date, round(value, 4) AS value, CASE WHEN tag = 'CommonStockSharesOutstanding' THEN 'shares' ELSE 'INR' END AS unit FROM b JOIN fd ON fd.entity = b.entity AND fd.fy = b.fy"""
+
+
+@query("k5_bse_facts", O.sql(_BSE, "yearly").replace(")\n, b AS", "),\nb AS"))
+def k5_bse(spark, d):
+    """Indian statements: labels, parent equity fallback, first filing within 180 days."""
+    from .sources import filings as S
+
+    f = S.bse_facts(*X.bse_landed(spark, d))
+    return f.select("cik", "ticker", "tag", "fiscal_period_end", "start_date", "filed_date", r("value", 4).alias("value"), "unit")
+
+
+_CVM = """, l AS (SELECT entity, fy, v, tag, flow, unit, CASE WHEN unit = 'BRL' AND entity % 2 = 1 THEN 1000.0::double ELSE 1 END * value AS value FROM yearly, LATERAL (VALUES ('Assets', false, 'BRL', round(1.5::double * rev + 2000 * size, 4)), ('StockholdersEquity', false, 'BRL', CASE WHEN entity % 5 <> 0 THEN round(0.5::double * rev, 4) END), ('Revenues', true, 'BRL', rev), ('CostOfRevenue', true, 'BRL', cogs), ('CommonStockSharesOutstanding', false, 'shares', 1000 + n * size - size)) t(tag, flow, unit, value) WHERE value IS NOT NULL AND (v = 1 OR entity % 9 <> 0)),
+ff AS (SELECT *, CASE WHEN v = 1 THEN make_date(fy + 1, 3, 15) ELSE make_date(fy + 1, 9, 30) END AS filed_date FROM l)
+SELECT lpad(entity::varchar, 14, '0') AS cik, 'P' || entity AS ticker, tag, make_date(fy, 12, 31) AS fiscal_period_end, CASE WHEN flow THEN make_date(fy, 1, 1) END AS start_date, filed_date, round(value, 4) AS value, unit, filed_date > min(filed_date) OVER (PARTITION BY entity, tag, fy) AS is_restatement FROM ff"""
+
+
+@query("k5_cvm_facts", O.sql(_CVM, "yearly").replace(")\n, l AS", "),\nl AS"))
+def k5_cvm(spark, d):
+    """Brazilian statements: label checks, scale and sign, receipt dates, shares less treasury."""
+    from .sources import filings as S
+
+    f = S.cvm_facts(*X.cvm_landed(spark, d))
+    return f.select("cik", "ticker", "tag", "fiscal_period_end", "start_date", "filed_date", r("value", 4).alias("value"), "unit", "is_restatement")
+
+
 @query("l1_stream_ingest", O.sql("SELECT cik, ticker, tag, fiscal_period_end, filed_date, round(value, 4) AS value, filed_date > min(filed_date) OVER (PARTITION BY cik, tag, fiscal_period_end) AS is_restatement FROM facts", "facts"))
 def l1(spark, d):
     """Facts landed by ticker, streamed in, with one year delivered twice."""

@@ -117,3 +117,65 @@ def brand_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = monthly_returns(prices(spark, sf_dir)).filter(F.col("ret").isNotNull())
     mean = F.round(F.avg("ret"), 8).alias("ret")
     return r.join(sectors(spark, sf_dir), "ticker").groupBy(F.col("sector").alias("series"), F.col("month_end").alias("date")).agg(mean)
+
+
+def _unpivoted(y: DataFrame, keep: list[str], rows: list[tuple]) -> DataFrame:
+    """A row for each of (statement, label or code, text, value) of a yearly row."""
+    each = F.array(*[F.struct(F.lit(a).alias("statement"), F.lit(b).alias("code"), F.lit(c).alias("label"), v.alias("value")) for a, b, c, v in rows])
+    return y.select(*keep, F.explode(each).alias("x")).select(*keep, "x.*").filter(F.col("value").isNotNull())
+
+
+def bse_landed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Indian statement rows, filing dates and tickers: every fourth company
+    has the parent's equity only; a filing comes 0 to 7 months after the period."""
+    c = F.col
+    y = yearly(spark, sf_dir).filter("v = 2").withColumns({"scrip_code": c("entity"), "period_end": F.make_date(c("fy") + 1, F.lit(3), F.lit(31))})
+    rows = _unpivoted(
+        y,
+        ["scrip_code", "period_end"],
+        [
+            ("bs", "", "Total Assets", F.round(1.5 * c("rev") + 2000 * c("size"), 4)),
+            ("bs", "", "Stockholders Equity", F.round(0.5 * c("rev"), 4)),
+            ("bs", "", "Total Equity Gross Minority Interest", F.when(c("entity") % 4 != 0, F.round(0.6 * c("rev"), 4))),
+            ("bs", "", "Ordinary Shares Number", 1000 + c("n") * c("size")),
+            ("is", "", "Total Revenue", c("rev")),
+            ("is", "", "A label of no tag", c("rev")),
+            ("cf", "", "Operating Cash Flow", F.round(c("rev") - c("cogs"), 4)),
+        ],
+    ).drop("code")
+    filings = y.select("scrip_code", F.date_add("period_end", (c("entity") % 8 * 30).cast("int")).alias("filed_date")).distinct()
+    tickers = y.select("scrip_code", F.concat(F.lit("P"), c("entity").cast("string")).alias("ticker")).distinct()
+    return rows, filings, tickers
+
+
+def cvm_landed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Brazilian statement lines of two versions, filing index, share counts
+    and tickers: every fifth company labels its equity wrongly, and every
+    ninth has no receipt date for its second version."""
+    c = F.col
+    y = yearly(spark, sf_dir).withColumns({"CNPJ_CIA": F.lpad(c("entity").cast("string"), 14, "0"), "DT_REFER": F.concat(c("fy").cast("string"), F.lit("-12-31")), "VERSAO": c("v")})
+    key = ["CNPJ_CIA", "DT_REFER", "VERSAO"]
+    equity = F.round(0.5 * c("rev"), 4)
+    rows = [
+        ("BPA", "1", "Ativo Total", F.round(1.5 * c("rev") + 2000 * c("size"), 4)),
+        ("BPP", "2.03", "Patrim\u00f4nio L\u00edquido", F.when(c("entity") % 5 != 0, equity)),
+        ("BPP", "2.03", "Outras contas", F.when(c("entity") % 5 == 0, equity)),
+        ("DRE", "3.01", "Receita de Venda de Bens e/ou Servi\u00e7os", c("rev")),
+        ("DRE", "3.02", "Custo dos Bens e/ou Servi\u00e7os Vendidos", -c("cogs")),
+        ("DRE", "9.99", "Receita de Venda", c("rev")),
+    ]
+    lines = _unpivoted(y, [*key, "entity", "fy"], rows).select(
+        "statement",
+        *key,
+        F.when(c("entity") % 2 == 1, "MIL").otherwise("UNIDADE").alias("ESCALA_MOEDA"),
+        F.when(c("statement") == "DRE", F.concat(c("fy").cast("string"), F.lit("-01-01"))).alias("DT_INI_EXERC"),
+        c("DT_REFER").alias("DT_FIM_EXERC"),
+        c("code").alias("CD_CONTA"),
+        c("label").alias("DS_CONTA"),
+        c("value").alias("VL_CONTA"),
+    )
+    received = F.when(c("v") == 1, F.concat((c("fy") + 1).cast("string"), F.lit("-03-15"))).when(c("entity") % 9 != 0, F.concat((c("fy") + 1).cast("string"), F.lit("-09-30")))
+    index = y.select(*key, received.alias("DT_RECEB")).filter(c("DT_RECEB").isNotNull())
+    shares = y.select(*key, (1000 + c("n") * c("size")).alias("QT_ACAO_TOTAL_CAP_INTEGR"), c("size").alias("QT_ACAO_TOTAL_TESOURO"))
+    tickers = y.select("CNPJ_CIA", F.concat(F.lit("P"), c("entity").cast("string")).alias("ticker")).distinct()
+    return lines, index, shares, tickers
