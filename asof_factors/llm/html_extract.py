@@ -4,7 +4,8 @@ Each page becomes a sequence of text nodes with their root-to-leaf tag paths.
 Text length and punctuation are summed per path and divided by the path's
 number of nodes; both ratios are smoothed over the page with a Gaussian and
 fused by their geometric mean.  What the markup says about a path is a feature of its
-score, not a rule: the share of the path's text that is linked lowers it, and
+score, not a rule: outside of main text, the share of its text that is linked
+lowers it, and
 elements that name main text or boilerplate (by tag, role, class or id)
 weight it.  The paths whose score reaches a share of the score of the page's
 mean character are content nodes, and the blocks that hold any of them are the
@@ -33,6 +34,8 @@ SIGMA, RADIUS = 1.0, 2
 LAMBDA = 0.005
 #: Weights of paths through elements that name main text, or boilerplate.
 MAIN, BOILER = 30.0, 1e-5
+#: Least weight of a path whose text is linked.
+LINKED = 1e-3
 
 # Fixed values of the markup language.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -151,7 +154,7 @@ def path_scores(page: Page) -> tuple[np.ndarray, float]:
     n_paths = len(weight)
     total = np.bincount(path, length, n_paths)
     prose = 1 - np.bincount(path, length * linked, n_paths) / np.maximum(total, 1)
-    weight = weight * np.maximum(prose, 0.05)
+    weight = weight * np.where(weight < MAIN, np.maximum(prose, LINKED), 1.0)  # main text may be linked
     count = np.maximum(np.bincount(path, length > 0, n_paths), 1)
     kernel = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
     smooth = lambda x: np.convolve(np.pad(x, RADIUS), kernel / kernel.sum(), "valid")
