@@ -217,7 +217,7 @@ def restored(scanned: DataFrame) -> DataFrame:
             yield pd.DataFrame({"token": b["token"], "word": words})
 
     tokens = scanned.select(F.explode("tokens").alias("token")).distinct()
-    arcs = tokens.mapInPandas(need, "token string, code bigint").join(counts, "code", "left").withColumn("context", F.shiftright("code", BITS)).join(contexts, "context", "left")
+    arcs = tokens.mapInPandas(need, "token string, code bigint").join(_small(counts), "code", "left").withColumn("context", F.shiftright("code", BITS)).join(_small(cut(contexts)), "context", "left")
     arc = F.struct("code", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
     return cut(arcs.groupBy("token").agg(F.collect_list(arc).alias("arcs")).mapInPandas(solve, "token string, word string"))
 
