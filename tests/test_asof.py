@@ -1,6 +1,7 @@
 """As-of operators on hand-made filings."""
 
 import datetime as dt
+import random
 
 from asof_factors.operators import asof, membership
 from asof_factors.schema import FACTS, TAGS
@@ -73,3 +74,39 @@ def test_stream_is_restartable(spark, tmp_path):
     ingest.ingest(spark, landed, table, check)
     got = sorted((r.value, r.is_restatement) for r in ingest.current_facts(spark, table).collect())
     assert got == [(80.0, True), (100.0, False)]
+
+
+def test_ties_have_one_order_in_every_operator(spark):
+    day = D(2021, 2, 15)
+    rows = [fact(5, day, start=D(2019, 12, 1)), fact(3, day), (*fact(9, day)[:7], "ZAR", *fact(9, day)[8:]), fact(2, day)]
+    f = facts(spark, *rows)
+    asked = spark.createDataFrame([(1, "ACME", "NetIncomeLoss", D(2021, 3, 1))], "request_id int, ticker string, tag string, as_of_date date")
+    assert asof.lookup(asked, f).first().value == 3.0
+    assert asof.latest_filings(f, D(2021, 3, 1)).first().value == 3.0
+    assert asof.snapshot(f, [D(2021, 3, 1)]).first().NetIncomeLoss == 3.0
+
+
+def test_pinned_lookups(spark):
+    f = facts(spark, fact(1, D(2020, 2, 1), D(2019, 12, 31)), fact(2, D(2021, 2, 1)), fact(3, D(2021, 6, 1), D(2019, 12, 31)))
+    schema = "request_id int, ticker string, tag string, as_of_date date, fiscal_period_end date"
+    asked = [(1, "acme", "NetIncomeLoss", D(2021, 3, 1), D(2019, 12, 31)), (2, "ACME", "NetIncomeLoss", D(2021, 7, 1), D(2019, 12, 31)), (3, "ACME", "NetIncomeLoss", D(2021, 7, 1), None), (4, "ACME", "NetIncomeLoss", D(2020, 7, 1), D(2020, 12, 31))]
+    assert {r.request_id: r.value for r in asof.lookup(spark.createDataFrame(asked, schema), f).collect()} == {1: 1.0, 2: 3.0, 3: 2.0, 4: None}
+
+
+def test_snapshots_against_brute_force(spark):
+    """Periods filed late, out of order and again."""
+    rng = random.Random(3)
+    rows = {(t, y, rng.randint(0, 2200)): float(k) for k, (t, y) in enumerate((t, rng.randint(2010, 2016)) for t in "abc" for _ in range(25))}
+    filed = {k: D(2010, 6, 1) + dt.timedelta(days=k[2]) for k in rows}
+    f = facts(spark, *[fact(v, filed[k], D(k[1], 12, 31), start=D(k[1], 1, 1), ticker=k[0].upper()) for k, v in rows.items()])
+    dates = [D(2010 + m // 4, 3 * (m % 4) + 1, 15) for m in range(30)]
+    want = {}
+    for d in dates:
+        for t in "abc":
+            known = {}
+            for k in sorted((k for k in rows if k[0] == t and filed[k] <= d), key=lambda k: filed[k]):
+                known[k[1]] = rows[k]
+            for rank, y in enumerate(sorted(known, reverse=True)[:2], 1):
+                want[d, t.upper(), rank] = (y, known[y])
+    got = {(r.as_of_date, r.ticker, r.period_rank): (r.fiscal_period_end.year, r.value) for r in asof.snapshot_long(f, dates).collect()}
+    assert got == want
