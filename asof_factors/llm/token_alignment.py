@@ -52,11 +52,11 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 #: Bytes of a stretch from which on merging is left to the vocabulary's own library.
 LONG = 1000
 #: Characters of a batch of documents that advance together.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 750_000
 #: A task forgets its stretches beyond so many tokens, to bound its memory.
-CACHE_TOKENS = 8_000_000
+CACHE_TOKENS = 3_000_000
 #: Tokens of a document for one place in the state vector, about.
-PLACE = 2048
+PLACE = 512
 #: Groups with more links are counted by distinct ids; links are made for so
 #: many groups at once.
 WIDE, GROUPS = 4096, 65_536
