@@ -10,7 +10,7 @@ import sys
 
 from pyspark import cloudpickle
 
-from . import chat_format, decontaminate, exact_dedup, html_extract, pii, sentencepiece_codec, simhash_dedup, suffix_dedup, token_alignment, toxicity, url_filter, vector_clusters
+from . import chat_format, decontaminate, exact_dedup, html_extract, minhash_dedup, pii, sentencepiece_codec, simhash_dedup, suffix_dedup, token_alignment, toxicity, url_filter, vector_clusters
 
 # Functions that run in Python workers travel by value, so that workers
 # need not be able to import this package.
@@ -29,6 +29,7 @@ def _modules():
         "op8_url_filters": url_filter,
         "op9_exact_dedup": exact_dedup,
         "op10_sentencepiece": sentencepiece_codec,
+        "op11_minhash_near_dedup": minhash_dedup,
         "op12_centroid_clustering": vector_clusters,
         "op13_token_alignment": token_alignment,
     }
