@@ -100,10 +100,16 @@ def snapshot_long(facts: DataFrame, dates: list[dt.date], tags: list[str] = TAGS
     period = Window.partitionBy("ticker", "tag", "fiscal_period_end")
     following = F.lead("filed_date").over(period.orderBy(*oldest_first()))
     later = Window.partitionBy("ticker", "tag").orderBy(F.unix_date("fiscal_period_end").cast("long").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    firsts = F.array_sort(F.collect_set(F.struct("first_filed", "fiscal_period_end")).over(later))
     calendar = F.array(*[F.lit(d) for d in sorted(dates)])
     held = F.filter(calendar, lambda d: (d >= F.col("filed_date")) & (F.col("until").isNull() | (d < F.col("until"))))
-    valid = annual.withColumns({"next": following, "first_filed": F.min("filed_date").over(period)}).withColumn("until", F.least("next", F.get(firsts, F.lit(periods - 1))["first_filed"]))
+    valid = annual.withColumns({"next": following, "first_filed": F.min("filed_date").over(period)})
+    # the k-th of the later periods to be known: at each of them the later of its own
+    # first filing and the (k-1)-th known among those after it, the least of these
+    known = F.min("first_filed").over(later)
+    for k in range(2, periods + 1):
+        valid = valid.withColumn(f"known_{k - 1}", known)
+        known = F.min(F.when(F.col(f"known_{k - 1}").isNotNull(), F.greatest("first_filed", f"known_{k - 1}"))).over(later)
+    valid = valid.withColumn("until", F.least("next", known))
     each = valid.select("ticker", "tag", "fiscal_period_end", "value", F.explode(held).alias("as_of_date"))
     rank = F.row_number().over(Window.partitionBy("ticker", "tag", "as_of_date").orderBy(F.desc("fiscal_period_end")))
     return each.withColumn("period_rank", rank).filter(F.col("period_rank") <= periods)
@@ -144,9 +150,8 @@ def first_filing_after(periods: DataFrame, filings: DataFrame, key: str, toleran
     """``periods`` (key, period_end, ...) with ``filed_date``, the first filing
     strictly after the period's end; a later one than the tolerance is no
     match, and an earlier filing beyond it does not make way for another."""
-    f = filings.select(F.col(key).alias("__key"), F.col("filed_date"))
-    ends = periods.select(key, "period_end").distinct()
-    first = ends.join(f, (F.col(key) == F.col("__key")) & (F.col("filed_date") > F.col("period_end"))).groupBy(key, "period_end").agg(F.min("filed_date").alias("filed_date"))
+    f, ends = filings.select(key, "filed_date"), periods.select(key, "period_end").distinct()
+    first = ends.join(f, key).filter(F.col("filed_date") > F.col("period_end")).groupBy(key, "period_end").agg(F.min("filed_date").alias("filed_date"))
     return periods.join(first.filter(F.datediff("filed_date", "period_end") <= tolerance_days), [key, "period_end"])
 
 

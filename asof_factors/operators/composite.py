@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import exact_ranks
 from ..schema import FEATURES, FORWARD_MONTHS, LASSO_ALPHAS, LASSO_CV_SPLITS, MIN_TRAIN_MONTHS
 
 LABEL = "fwd_ret_demeaned"
@@ -35,14 +36,14 @@ def training_rows(panel: DataFrame, refits: DataFrame, splits: int = LASSO_CV_SP
     """refit_date, segment (0 to ``splits``) and row of every training row.
     Rows are ordered by date, then ticker; a row's place in the whole table is
     its date's offset plus its rank in the date, and is the same for every
-    refit, so no window spans more than a date."""
+    refit; ranks are exact without a task for each date."""
     rows = labelled(panel).select("as_of_date", "ticker", *FEATURES, LABEL)
     counts = rows.groupBy("as_of_date").agg(F.count(F.lit(1)).alias("c"))
     until = F.sum("c").over(Window.orderBy("as_of_date"))  # a row for each date
     offsets = counts.withColumn("before", until - F.col("c"))
     sized = refits.join(offsets, offsets.as_of_date <= refits.cutoff).groupBy("refit_date", "cutoff").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("months"))
     sized = sized.filter(F.col("months") >= least_months)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("as_of_date").orderBy("ticker")) - 1)
+    ranked = exact_ranks(rows, ["as_of_date"], ["ticker"]).withColumn("rank", F.col("rank") - 1).drop("group_size")
     placed = ranked.join(F.broadcast(offsets.select("as_of_date", "before")), "as_of_date").withColumn("place", F.col("before") + F.col("rank"))
     each = placed.join(F.broadcast(sized), F.col("as_of_date") <= F.col("cutoff"))  # a row for each refit
     test = F.floor(F.col("n") / (splits + 1))

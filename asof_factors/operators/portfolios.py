@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import exact_ranks, mean_ranks
 from ..schema import MIN_NAMES_PER_BUCKET, N_BUCKETS
 
 
@@ -16,12 +17,10 @@ def form_buckets(rows: DataFrame, score: str, n: int = N_BUCKETS, least: int = M
     exact integer rule ceil((rank - 1) n / (m - 1)); null for a missing score
     and for sections of fewer than n * least scores."""
     has = F.col(score).isNotNull()
-    order = Window.partitionBy(*keys, has).orderBy(score, "ticker")
-    whole = Window.partitionBy(*keys, has)
-    rank = F.row_number().over(order).cast("long") - 1
-    m = F.count(F.lit(1)).over(whole)
+    ranked = exact_ranks(rows.withColumn("__has", has), [*keys, "__has"], [score, "ticker"], "__rank", "__m")
+    rank, m = F.col("__rank") - 1, F.col("__m")
     bucket = F.greatest(F.lit(1), F.ceil(rank * n / F.greatest(m - 1, F.lit(1)))).cast("int")
-    return rows.withColumn(out, F.when(has & (m >= n * least), bucket))
+    return ranked.withColumn(out, F.when(F.col("__has") & (m >= n * least), bucket)).drop("__has", "__rank", "__m")
 
 
 def bucket_returns(panel: DataFrame, keys: tuple[str, ...] = ("as_of_date",)) -> DataFrame:
@@ -163,8 +162,8 @@ def rank_stability(panel: DataFrame, score: str = "composite_score") -> DataFram
     scored = panel.filter(F.col(score).isNotNull()).select("as_of_date", "ticker", score).join(F.broadcast(dates), "as_of_date")
     later = scored.select("ticker", (F.col("i") - 1).alias("i"), F.col("as_of_date"), F.col(score).alias("b"))
     pairs = scored.select("ticker", "i", F.col(score).alias("a")).join(later, ["ticker", "i"])
-    mean_rank = lambda c: F.rank().over(Window.partitionBy("as_of_date").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("as_of_date", c)) - 1) / 2.0
-    return pairs.withColumns({"ra": mean_rank("a"), "rb": mean_rank("b")}).groupBy("as_of_date").agg(F.corr("ra", "rb").alias("spearman"), F.count(F.lit(1)).alias("names"))
+    both = mean_ranks(mean_ranks(pairs.select("as_of_date", "a", "b"), ["as_of_date"], "a", "ra"), ["as_of_date"], "b", "rb")
+    return both.groupBy("as_of_date").agg(F.corr("ra", "rb").alias("spearman"), F.count(F.lit(1)).alias("names"))
 
 
 def watchlist(panel: DataFrame, tickers: list[str]) -> DataFrame:

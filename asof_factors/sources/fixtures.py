@@ -179,3 +179,78 @@ def cvm_landed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     shares = y.select(*key, (1000 + c("n") * c("size")).alias("QT_ACAO_TOTAL_CAP_INTEGR"), c("size").alias("QT_ACAO_TOTAL_TESOURO"))
     tickers = y.select("CNPJ_CIA", F.concat(F.lit("P"), c("entity").cast("string")).alias("ticker")).distinct()
     return lines, index, shares, tickers
+
+
+def land_company_json(facts: DataFrame, folder: str) -> None:
+    """Company-facts files: one JSON object a company and line."""
+    from .filings import nest_facts
+
+    n = nest_facts(facts)
+    line = F.concat(F.lit('{"cik": "'), "cik", F.lit('", "ticker": "'), "ticker", F.lit('", "facts": '), "json", F.lit("}"))
+    n.select(line.alias("value")).write.mode("append").text(folder)
+
+
+def land_cvm(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Brazilian files as the regulator names them, one for each statement
+    and a year in the name; returns the tickers."""
+    from .filings import CVM_CSV
+
+    lines, index, shares, tickers = cvm_landed(spark, sf_dir)
+    options = {k: v for k, v in CVM_CSV.items() if k != "enforceSchema"}
+    order = lines.withColumn("ORDEM_EXERC", F.lit("\u00daLTIMO"))
+    for code in ("BPA", "BPP", "DRE"):
+        # balance sheets have no column for a period's start
+        without = ["statement"] if code == "DRE" else ["statement", "DT_INI_EXERC"]
+        order.filter(F.col("statement") == code).drop(*without).write.options(**options).csv(f"{folder}/dfp_cia_aberta_{code}_con_2001.csv")
+    index.write.options(**options).csv(f"{folder}/dfp_cia_aberta_2001.csv")
+    shares.write.options(**options).csv(f"{folder}/dfp_cia_aberta_composicao_capital_2001.csv")
+    return tickers
+
+
+def land_dart(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Korean files: statement rows, filings and share classes as JSON, the
+    registry as XML.  Companies differ in id prefixes, statements (income or
+    comprehensive income), equity rows, consolidation, share classes, and in whether
+    the index or the receipt number itself gives the receipt date."""
+    c, e = F.col, F.col("entity")
+    y = yearly(spark, sf_dir).filter("v = 2").withColumns({"corp_code": F.lpad(e.cast("string"), 8, "0"), "bsns_year": c("fy").cast("string")})
+    day = F.when(e % 12 == 0, F.lit("19900315")).otherwise(F.concat((c("fy") + 1).cast("string"), F.lit("0315")))
+    y = y.withColumn("rcept_no", F.concat(day, F.lpad(e.cast("string"), 6, "0")))
+    full, income = F.when(e % 2 == 0, "ifrs-full_").otherwise("ifrs_"), F.when(e % 4 == 0, "CIS").otherwise("IS")
+    cash = F.when(e % 7 == 0, "CashFlowsFromUsedInOperatingActivitiesBeforeIncomeTaxesAndOtherItemsAffectingConciliation").otherwise("CashFlowsFromUsedInOperatingActivities")
+    rows = [
+        (F.lit("BS"), F.concat(full, F.lit("Assets")), 1.5 * c("rev") + 2000 * c("size")),
+        (F.lit("BS"), F.concat(full, F.lit("EquityAttributableToOwnersOfParent")), 0.4 * c("rev")),
+        (F.lit("BS"), F.concat(full, F.lit("Equity")), F.when(e % 3 != 0, 0.5 * c("rev"))),
+        (F.lit("SCE"), F.concat(full, F.lit("Equity")), F.lit(7.0)),
+        (income, F.concat(full, F.lit("Revenue")), c("rev")),
+        (income, F.concat(full, F.lit("ProfitLoss")), c("rev") - c("cogs")),
+        (F.lit("BS"), F.lit("dart_NoncurrentPortionOfNoncurrentBondsIssued"), 0.1 * c("cogs")),
+        (F.lit("BS"), F.lit("NoncurrentPortionOfNoncurrentLoansReceived"), F.when(e % 5 != 0, 0.2 * c("cogs"))),
+        (F.lit("CF"), F.concat(full, cash), 0.3 * c("rev")),
+    ]
+    each = F.array(*[F.struct(a.alias("sj_div"), b.alias("account_id"), F.floor(v).alias("v")) for a, b, v in rows])
+    x = y.select("entity", "corp_code", "bsns_year", "rcept_no", F.explode(each).alias("x")).select("entity", "corp_code", "bsns_year", "rcept_no", "x.*").filter(c("v").isNotNull())
+    text = lambda v: F.format_number(v, 0)
+    before = F.when(e % 2 == 1, text(c("v") - 200)).otherwise("-")
+    x = x.select("entity", "corp_code", "bsns_year", "rcept_no", "sj_div", "account_id", "v", text(c("v") - 100).alias("frmtrm_amount"), before.alias("bfefrmtrm_amount"))
+    one = x.withColumns({"fs_div": F.when(e % 10 == 0, "OFS").otherwise("CFS"), "thstrm_amount": text(c("v"))})
+    two = x.filter(e % 9 == 0).filter(e % 10 != 0).withColumns({"fs_div": F.lit("OFS"), "thstrm_amount": text(2 * c("v"))})
+    one.unionByName(two).drop("entity", "v").write.json(f"{folder}/statements")
+    annual = y.filter(e % 6 != 0).select("corp_code", "rcept_no", F.concat((c("fy") + 1).cast("string"), F.lit("0320")).alias("rcept_dt"), F.concat(F.lit("사업보고서 ("), "bsns_year", F.lit(".12)")).alias("report_nm"))
+    other = y.select("corp_code", "rcept_no", F.lit("19910101").alias("rcept_dt"), F.lit("분기보고서").alias("report_nm"))
+    annual.unionByName(other).write.json(f"{folder}/filings")
+    n = 1000 + c("n") * c("size")
+    k = e % 4
+    classes = F.array(
+        F.struct(F.when(k == 0, "보통 주").when(k == 3, "의결권 있는 주식").alias("se"), n.alias("v")),
+        F.struct(F.when(k == 3, "보통주").alias("se"), (n + 5).alias("v")),
+        F.struct(F.lit("우선주").alias("se"), F.when(k != 1, F.lit(10.0)).alias("v")),
+        F.struct(F.lit("합계").alias("se"), (n + 20).alias("v")),
+        F.struct(F.lit("비고").alias("se"), F.lit(None).cast("double").alias("v")),
+    )
+    s = y.select("corp_code", "bsns_year", "rcept_no", F.explode(classes).alias("s")).filter("s.se IS NOT NULL")
+    count = F.coalesce(text(c("s.v")), F.lit("-"))
+    s.select("corp_code", "bsns_year", "rcept_no", "s.se", text(c("s.v") + 3).alias("istc_totqy"), F.lit("3").alias("tesstk_co"), count.alias("distb_stock_co"), F.concat("bsns_year", F.lit("-12-31")).alias("stlm_dt")).write.json(f"{folder}/shares")
+    names = y.select(e.cast("string").alias("corp_code"), F.concat(F.lit("Company "), e.cast("string")).alias("corp_name"), F.concat(F.lit("P"), e.cast("string")).alias("stock_code")).distinct()
+    names.write.format("xml").option("rootTag", "result").option("rowTag", "list").save(f"{folder}/registry")
