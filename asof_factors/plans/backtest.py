@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import composite, portfolios, seriesstats
@@ -14,7 +14,7 @@ from ..operators.membership import members_on
 from ..operators.prices import forward_returns, forward_total_return, priced_tickers
 from ..operators.scores import equal_weight, score, sector_zscore, with_market_cap
 from .storage import materialised
-from ..schema import FEATURES, FORWARD_MONTHS, MIN_TRAIN_MONTHS, N_BUCKETS, SCORES, TAGS, Universe
+from ..schema import FEATURES, FORWARD_MONTHS, MIN_STATS_MONTHS, MIN_TRAIN_MONTHS, N_BUCKETS, ROLLING_WINDOW, SCORES, TAGS, Universe
 
 
 def scores_panel(facts: DataFrame, prices: DataFrame, sectors: DataFrame, dates: list[dt.date], membership: DataFrame | None = None, tags: list[str] = TAGS) -> DataFrame:
@@ -35,9 +35,12 @@ def scores_panel(facts: DataFrame, prices: DataFrame, sectors: DataFrame, dates:
     return rows.withColumn("fwd_ret_demeaned", F.col("__half") - F.col("__mean")).drop("__half", "__mean")
 
 
-def backtest(panel: DataFrame, n: int = N_BUCKETS, refit_every: int = 12, least_months: int = MIN_TRAIN_MONTHS) -> dict[str, DataFrame]:
-    """Panel with composite scores and buckets, bucket returns and coefficients."""
+def backtest(panel: DataFrame, n: int = N_BUCKETS, refit_every: int = 12, least_months: int = MIN_TRAIN_MONTHS, digits: int | None = None) -> dict[str, DataFrame]:
+    """Panel with composite scores (rounded to ``digits``, which settles ties
+    that differ by the order of sums), buckets, bucket returns and coefficients."""
     blended, coefficients = composite.walk_forward(panel, refit_every, least_months)
+    if digits is not None:
+        blended = blended.withColumn("composite_score", F.round("composite_score", digits))
     bucketed = portfolios.form_buckets(blended, "composite_score", n)
     return {"panel": bucketed, "bucket_returns": portfolios.bucket_returns(bucketed), "coefficients": coefficients}
 
@@ -86,11 +89,25 @@ def run(universe: Universe, facts: DataFrame, prices: DataFrame, sectors: DataFr
     return backtest(panel, universe.n_buckets, **model)
 
 
-def run_overview(summaries: DataFrame) -> DataFrame:
-    """The composite's verdict of each run, and whether it is older than the
-    run's panel.  ``summaries``: universe, mode, strategy, statistics, run_at, panel_at."""
-    s = summaries.filter(F.col("strategy") == "composite")
-    return s.withColumn("stale", F.col("run_at") < F.col("panel_at"))
+def available_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """universe, mode, rows, dates and time of writing of the runs in a sink,
+    found by their partitions."""
+    p = spark.read.parquet(f"{folder}/panel").select("universe", "mode", "as_of_date", F.col("_metadata.file_modification_time").alias("written"))
+    return p.groupBy("universe", "mode").agg(F.count(F.lit(1)).alias("n_rows"), F.min("as_of_date").alias("first_date"), F.max("as_of_date").alias("last_date"), F.max("written").alias("panel_at"))
+
+
+def run_overview(spark: SparkSession, folder: str) -> DataFrame:
+    """The composite's verdict of each run in a sink, and whether it is older
+    than the run's panel."""
+    s = spark.read.parquet(f"{folder}/summary").withColumn("run_at", F.col("_metadata.file_modification_time")).filter(F.col("strategy") == "composite")
+    return available_runs(spark, folder).join(s, ["universe", "mode"]).withColumn("stale", F.col("run_at") < F.col("panel_at"))
+
+
+def validation_job(bucketed: DataFrame, n: int = N_BUCKETS, window: int = ROLLING_WINDOW, least: int = MIN_STATS_MONTHS) -> dict[str, DataFrame]:
+    """Summary and rolling hurdle table of all strategies, from one series
+    table that is made once."""
+    series = materialised(validation_series(bucketed, n))
+    return {"summary": seriesstats.series_stats(series, ["strategy"], least=least), "rolling": seriesstats.rolling_hurdle(series, ["strategy"], window=window)}
 
 
 def compare_runs(runs: dict[str, DataFrame], n: int = N_BUCKETS) -> DataFrame:

@@ -633,11 +633,6 @@ def j9(spark, d):
     return rounded(composite.walk_forward(_panel(spark, d), 4, 6)[0].select("as_of_date", "ticker", "composite_score"))
 
 
-@query("k1_backtest")
-def k1(spark, d):
-    return rounded(backtest.backtest(_panel(spark, d), refit_every=4, least_months=6)["bucket_returns"])
-
-
 @query("k4_corrected_twin", _with("gz AS (SELECT s.* FROM sectored s WHERE EXISTS (SELECT 1 FROM membership m WHERE m.ticker = s.ticker AND (start_date IS NULL OR start_date <= as_of_date) AND (end_date IS NULL OR end_date > as_of_date))), zz AS (SELECT *, " + ", ".join(O._zs) + " FROM gz WINDOW sec AS (PARTITION BY as_of_date, sector), al AS (PARTITION BY as_of_date)), bb AS (SELECT *, " + O.buckets("composite_score") + " AS decile FROM (SELECT *, round((f_score_z + z_score_z + o_score_z) / 3, 9) AS composite_score FROM zz))", "SELECT as_of_date, ticker, round(composite_score, 6) AS composite_score, decile FROM bb", "sectored", "membership"))
 def k4(spark, d):
     p = _panel(spark, d, gated=True).withColumn("composite_score", F.round(scores.equal_weight(), 9))

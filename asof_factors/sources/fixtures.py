@@ -251,6 +251,6 @@ def land_dart(spark: SparkSession, sf_dir: str, folder: str) -> None:
     )
     s = y.select("corp_code", "bsns_year", "rcept_no", F.explode(classes).alias("s")).filter("s.se IS NOT NULL")
     count = F.coalesce(text(c("s.v")), F.lit("-"))
-    s.select("corp_code", "bsns_year", "rcept_no", "s.se", text(c("s.v") + 3).alias("istc_totqy"), F.lit("3").alias("tesstk_co"), count.alias("distb_stock_co"), F.concat("bsns_year", F.lit("-12-31")).alias("stlm_dt")).write.json(f"{folder}/shares")
+    s.select("corp_code", "bsns_year", "rcept_no", "s.se", text(c("s.v") + F.when(c("s.se") == "보통주", 4).otherwise(3)).alias("istc_totqy"), F.lit("3").alias("tesstk_co"), count.alias("distb_stock_co"), F.concat("bsns_year", F.lit("-12-31")).alias("stlm_dt")).write.json(f"{folder}/shares")
     names = y.select(e.cast("string").alias("corp_code"), F.concat(F.lit("Company "), e.cast("string")).alias("corp_name"), F.concat(F.lit("P"), e.cast("string")).alias("stock_code")).distinct()
     names.write.format("xml").option("rootTag", "result").option("rowTag", "list").save(f"{folder}/registry")
