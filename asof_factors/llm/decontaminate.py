@@ -64,14 +64,21 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, most: in
     windows = cut(windows_of(benchmark, size).withColumn("h", window_hash(hashes_of(F.split("window", " ")))))
     facts = windows.agg(F.sort_array(F.collect_set("k")).alias("ks"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.char_length("window")), F.lit(0)).alias("chars")).first()
     near = windows.select(F.col("h").alias("wh"), F.col("k").alias("wk")).distinct()
-    near = F.broadcast(near) if facts["n"] <= most else near
+    few = facts["n"] <= most
+    near = F.broadcast(near) if few else near
 
     given = docs.select("doc_id", text_hash().alias("text_hash"), words_of(F.col("text")).alias("w"))
     base = given.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"))
     scanned = given.withColumn("hw", hashes_of(F.col("w")))
     at = F.concat(*[_windows_at(k) for k in facts["ks"]]) if facts["ks"] else F.array().cast("array<struct<start:int,k:int,h:bigint>>")
-    each = scanned.select("doc_id", "text_hash", "w", F.explode(at).alias("at"))
-    found = each.join(near, (F.col("at.h") == F.col("wh")) & (F.col("at.k") == F.col("wk")))
+    match = (F.col("at.h") == F.col("wh")) & (F.col("at.k") == F.col("wk"))
+    if few:
+        found = scanned.select("doc_id", "text_hash", "w", F.explode(at).alias("at")).join(near, match)
+    else:
+        # windows are dealt out by hash without their text; what matches meets its row's words again
+        found = scanned.select("doc_id", "text_hash", F.explode(at).alias("at")).join(near, match)
+        found = found.groupBy(F.col("doc_id").alias("i"), F.col("text_hash").alias("t")).agg(F.collect_set(F.struct("at.start", "at.k")).alias("places"))
+        found = given.join(found, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("t"))).select("doc_id", "text_hash", "w", F.explode("places").alias("at"))
     found = cut(found.select("doc_id", "text_hash", "at.start", "at.k", F.array_join(F.slice("w", F.col("at.start"), F.col("at.k")), " ").alias("window")))
 
     side = windows.select("window", "items")
