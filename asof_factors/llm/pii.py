@@ -44,6 +44,8 @@ WINDOW = 5
 DISCLOSURE, PRIOR = 0.8, 0.5
 #: Rows of (term) or (entity, term) that are looked up by broadcast, at most.
 BROADCAST_TERMS = 500_000
+#: Entities of more documents are looked up by their documents' words.
+POPULAR = 64
 
 WORD, NOT_WORD = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
 SPAN = "struct<kind:int,start:int,stop:int,value:string>"
@@ -171,8 +173,20 @@ def find_spans(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     wanted = _broadcast_if_small(cut(pairs.select("term").distinct()))
     counts = given.select(*row, F.explode(split).alias("term")).join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
     words = found.filter(holds).select(*row, F.explode(split).alias("term")).distinct()
-    mentions = each.select(*row, "value").distinct().join(_broadcast_if_small(pairs.select("value", "term")), "value")
-    both = mentions.join(words, [*row, "term"]).groupBy("value", "term").agg(F.count(F.lit(1)).alias("nte"))
+    # an entity of many documents has terms from all of them: there a document's
+    # own words are looked up, elsewhere the entity's terms
+    popular = _broadcast_if_small(cut(entities.filter(F.col("ne") > POPULAR).select("value")))
+    mentions = each.select(*row, "value").distinct()
+
+    def held(terms: DataFrame) -> DataFrame:
+        """row, value and term of the given terms of entities (value, term)
+        that a document holds with the entity."""
+        terms = _broadcast_if_small(terms)
+        few = mentions.join(popular, "value", "left_anti").join(terms, "value").join(words, [*row, "term"])
+        many = mentions.join(popular, "value", "left_semi").join(words, row).join(terms, ["value", "term"], "left_semi")
+        return few.select(*row, "value", "term").unionByName(many.select(*row, "value", "term"))
+
+    both = held(pairs.select("value", "term")).groupBy("value", "term").agg(F.count(F.lit(1)).alias("nte"))
 
     n = F.lit(float(found.count()))
     seen = F.greatest("nte", "close")
@@ -181,7 +195,7 @@ def find_spans(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     scored = pairs.join(counts, "term").join(both, ["value", "term"])
     telling = cut(scored.filter((F.col("ne") < n) & (share * trust >= disclosure)).select("value", "term"))
 
-    in_doc = each.select(*row, "value").distinct().join(_broadcast_if_small(telling), "value").select(*row, "term").distinct()
+    in_doc = held(telling).select(*row, "term").distinct()
     places = found.filter(holds).select(*row, F.explode(matches(F.col("text"), f"{WORD}++")).alias("m")).select(*row, F.lower("m.value").alias("term"), "m.start", "m.stop")
     marks = places.join(in_doc, [*row, "term"]).groupBy(*row).agg(F.array_sort(F.collect_set(F.struct(F.lit(TERM).alias("kind"), "start", "stop", F.col("term").alias("value")))).alias("more"))
     marks = marks.toDF("i", "t", "more")
