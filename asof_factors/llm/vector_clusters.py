@@ -104,6 +104,11 @@ def nearest(vectors: np.ndarray, possible: np.ndarray, centroids: np.ndarray) ->
     return distance.argmin(axis=1)
 
 
+def blank(n: int) -> np.ndarray:
+    """Nulls of any kind."""
+    return np.full(n, None, dtype=object)
+
+
 class Sums:
     """Counts and sums of the vectors that enter and leave clusters."""
 
@@ -114,9 +119,11 @@ class Sums:
         np.add.at(self.n, clusters, sign)
         np.add.at(self.total, clusters, sign * vectors)
 
-    def rows(self, **others: object) -> pd.DataFrame:
+    def rows(self, *nulls: str) -> pd.DataFrame:
         k = np.flatnonzero((self.n != 0) | (self.total != 0).any(axis=1))
-        return pd.DataFrame({**{c: [v] * len(k) for c, v in others.items()}, "cluster": k.astype(np.int32), "n": self.n[k], "total": list(self.total[k])})
+        total = blank(len(k))
+        total[:] = list(self.total[k])
+        return pd.DataFrame({**{c: blank(len(k)) for c in nulls}, "cluster": k.astype(np.int32), "n": self.n[k], "total": total})
 
 
 def stacked(column: pd.Series, dimensions: int) -> np.ndarray:
@@ -168,8 +175,8 @@ def cluster_vectors(given: DataFrame, id_col: str = "vec_id", vector_col: str =
             packed = cells.pack(vec)
             now = nearest(vec, candidates(cells, cells.unpack(packed), bounds, centroids), centroids)
             sums.add(now, vec)
-            yield pd.DataFrame({"row": b["row"], "cells": packed, "cluster": now.astype(np.int32), "n": None, "total": None})
-        yield sums.rows(row=None, cells=None)
+            yield pd.DataFrame({"row": b["row"], "cells": packed, "cluster": now.astype(np.int32), "n": blank(len(b)), "total": blank(len(b))})
+        yield sums.rows("row", "cells")
 
     schema = "row bigint, cells binary, cluster int, n bigint, total array<bigint>"
     found = saved(vectors.select("row", "vec").mapInPandas(begin, schema))
@@ -213,8 +220,9 @@ def assign(vectors: DataFrame, state: DataFrame, cells: Cells, centroids: np.nda
             other = now != before
             sums.add(now[other], vec[other])
             sums.add(before[other], vec[other], -1)
-            yield pd.DataFrame({"row": b["row"][other], "cluster": now[other].astype(np.int32), "n": None, "total": None})
-        yield sums.rows(row=None)
+            moving = int(other.sum())
+            yield pd.DataFrame({"row": b["row"].to_numpy()[other], "cluster": now[other].astype(np.int32), "n": blank(moving), "total": blank(moving)})
+        yield sums.rows("row")
 
     fetched = vectors.select("row", "vec").join(small(need, broadcast), "row")
     settled = saved(fetched.mapInPandas(settle, "row bigint, cluster int, n bigint, total array<bigint>"))
