@@ -63,9 +63,10 @@ def texts():
     return out + [" ".join([word() for _ in range(rng.randint(5, 60))] + passage) for _ in range(60)]
 
 
-@pytest.mark.parametrize(("hub", "apart"), [(32, 256), (3, 2)])
+@pytest.mark.parametrize(("hub", "apart"), [(32, 256), (8, 8)])
 def test_components_against_brute_force(spark, texts, hub, apart, monkeypatch):
     monkeypatch.setattr(near_links.link_buckets, "__defaults__", (hub, apart, None))
+    monkeypatch.setattr(near_links, "LEVELS", 2)
     monkeypatch.setattr(minhash_dedup.near_dedup, "__defaults__", (*minhash_dedup.near_dedup.__defaults__[:-1], hub))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_dedup(docs(spark, texts)).collect()}
     assert got == components(texts, 4)
