@@ -44,8 +44,8 @@ WINDOW = 5
 DISCLOSURE, PRIOR = 0.8, 0.5
 #: Rows of (term) or (entity, term) that are looked up by broadcast, at most.
 BROADCAST_TERMS = 500_000
-#: Entities of more documents are looked up by their documents' words.
-POPULAR = 64
+#: Entities with more terms near them are looked up by their documents' words.
+POPULAR = 1000
 
 WORD, NOT_WORD = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
 SPAN = "struct<kind:int,start:int,stop:int,value:string>"
@@ -173,9 +173,9 @@ def find_spans(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     wanted = _broadcast_if_small(cut(pairs.select("term").distinct()))
     counts = given.select(*row, F.explode(split).alias("term")).join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
     words = found.filter(holds).select(*row, F.explode(split).alias("term")).distinct()
-    # an entity of many documents has terms from all of them: there a document's
-    # own words are looked up, elsewhere the entity's terms
-    popular = _broadcast_if_small(cut(entities.filter(F.col("ne") > POPULAR).select("value")))
+    # an entity of many different documents has terms from all of them: there a
+    # document's own words are looked up, elsewhere the entity's terms
+    popular = _broadcast_if_small(cut(pairs.groupBy("value").agg(F.count(F.lit(1)).alias("terms")).filter(F.col("terms") > POPULAR).select("value")))
     mentions = each.select(*row, "value").distinct()
 
     def held(terms: DataFrame) -> DataFrame:
