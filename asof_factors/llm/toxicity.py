@@ -49,6 +49,8 @@ PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 #: Rows (token or key of a document) that are looked up by broadcast, at most.
 BROADCAST_ROWS = 500_000
+#: Distinct words, and stems, that a task holds before it hands their counts on.
+WORDS_HELD, STEMS_HELD = 100_000, 400_000
 
 # What a sign may stand for, and what a substitution costs.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
@@ -109,10 +111,10 @@ def scan(docs: DataFrame) -> DataFrame:
                 x = _text(x)
                 seen.update(NOT_LETTERS.sub(" ", x.lower()).split())
                 tokens.append(sorted(suspects(x)))
+                if len(seen) > WORDS_HELD:
+                    yield counted(seen)
+                    seen = Counter()
             yield pd.DataFrame({"doc_id": b["doc_id"].array, "text_hash": b["text_hash"].array, "tokens": pd.Series(tokens, dtype=object), "code": pd.array([None] * len(b), "Int64"), "n": pd.array([None] * len(b), "Int64")})
-            if len(seen) > 200_000:
-                yield counted(seen)
-                seen = Counter()
         yield counted(seen)
 
     def counted(seen: Counter[str]) -> pd.DataFrame:
@@ -208,18 +210,20 @@ def restored(scanned: DataFrame) -> DataFrame:
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             words = []
-            for token, arcs in zip(b["token"], b["arcs"]):
+            # arrays of numbers: as structs, a batch's arcs take fifteen times the memory
+            for token, codes, ns, ms in zip(b["token"], b["codes"], b["ns"], b["ms"]):
                 cost = {}
-                for a in arcs:
-                    share = (sent.value.get(a["code"] & LOW, 0) + 0.5) / (total + 1)
-                    cost[a["code"]] = -math.log((a["n"] + BACK_OFF * share) / (a["m"] + BACK_OFF))
+                for code, n, m in zip(codes.tolist(), ns.tolist(), ms.tolist()):
+                    share = (sent.value.get(code & LOW, 0) + 0.5) / (total + 1)
+                    cost[code] = -math.log((n + BACK_OFF * share) / (m + BACK_OFF))
                 words.append(Lattice(token).decode(cost))
             yield pd.DataFrame({"token": b["token"], "word": words})
 
     tokens = scanned.select(F.explode("tokens").alias("token")).distinct()
     arcs = tokens.mapInPandas(need, "token string, code bigint").join(_small(counts), "code", "left").withColumn("context", F.shiftright("code", BITS)).join(_small(cut(contexts)), "context", "left")
     arc = F.struct("code", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
-    return cut(arcs.groupBy("token").agg(F.collect_list(arc).alias("arcs")).mapInPandas(solve, "token string, word string"))
+    each = arcs.groupBy("token").agg(F.collect_list(arc).alias("arcs"))
+    return cut(each.select("token", F.col("arcs.code").alias("codes"), F.col("arcs.n").alias("ns"), F.col("arcs.m").alias("ms")).mapInPandas(solve, "token string, word string"))
 
 
 def words_of(text: str) -> str:
@@ -256,8 +260,7 @@ def learn_stems(docs: DataFrame, scanned: DataFrame, words: DataFrame, labels: D
         h = xxhash.xxh64_intdigest
         for b in batches:
             plain = [words_of(_text(x)) for x in b["text"]]
-            split = [w.split() for w in plain]
-            least = [min((h(" ".join(s[k : k + 3])) for k in range(max(1, len(s) - 2))), default=0) for s in split]
+            least = [min((h(" ".join(s[k : k + 3])) for k in range(max(1, len(s) - 2))), default=0) for s in map(str.split, plain)]
             yield pd.DataFrame({"doc_id": b["doc_id"].array, "text_hash": b["text_hash"].array, "toxic": b["toxic"].array, "plain": plain, "least": np.array(least, dtype=np.uint64).view(np.int64)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -273,9 +276,9 @@ def learn_stems(docs: DataFrame, scanned: DataFrame, words: DataFrame, labels: D
             for words, toxic in zip(b["words"], b["toxic"]):
                 n[toxic > 0].update(stems_of(words_of(words)))
                 n[toxic > 0][""] += 1
-            if len(n[0]) + len(n[1]) > 2_000_000:
-                yield _counted(n)
-                n = [Counter(), Counter()]
+                if len(n[0]) + len(n[1]) > STEMS_HELD:
+                    yield _counted(n)
+                    n = [Counter(), Counter()]
         if n[0] or n[1]:
             yield _counted(n)
 
