@@ -2,7 +2,7 @@
 
 import pytest
 
-from asof_factors.operators import asof, prices
+from asof_factors.operators import asof, membership, prices
 from asof_factors.sources import fixtures as X
 
 SMOKE = "/root/testdata/sf0.001"
@@ -43,3 +43,11 @@ def test_total_return_over_a_missing_month(spark):
 def test_landed_tables_share_one_aggregation(spark):
     """Each of the regulator's tables summed up all lines anew."""
     assert not [df for df in X.cvm_landed(spark, SMOKE) if "lineitem" in planned(df)]
+
+
+def test_company_tables_are_not_sent_through_the_driver(spark):
+    """By the size of its files Spark took a row for each company for small and broadcast it."""
+    spine = X.sectors(spark, SMOKE).crossJoin(spark.createDataFrame([(X.DATES[0],)], "as_of_date date"))
+    gate = X.membership(spark, SMOKE)
+    for df in (X.yearly(spark, SMOKE), X.brand_returns(spark, SMOKE), membership.members_on(spine.repartition(4), gate), membership.removed_by_membership(spine.selectExpr("*", "1 AS f_score"), gate)):
+        assert "SortMergeJoin" in planned(df) and "BroadcastHashJoin" not in planned(df)
