@@ -218,9 +218,9 @@ FROM (SELECT DISTINCT ticker, tag, fiscal_period_end, d AS as_of_date FROM facts
     ),
 )
 def b5(spark, d):
-    f = X.facts(spark, d)
+    f = asof.restrict(X.facts(spark, d), tags=["Revenues"])
     days = F.explode(F.array(F.lit(dt.date(1998, 6, 30)), F.lit(dt.date(2000, 12, 31))))
-    asked = f.filter("tag = 'Revenues'").select("ticker", "tag", "fiscal_period_end").distinct().select("*", days.alias("as_of_date"))
+    asked = f.select("ticker", "tag", "fiscal_period_end").distinct().select("*", days.alias("as_of_date"))
     asked = asked.withColumn("request_id", F.struct("fiscal_period_end", "ticker", "as_of_date"))
     return asof.lookup(asked, f).select("ticker", "tag", F.col("request_id.fiscal_period_end").alias("fiscal_period_end"), "as_of_date", r("value", 4).alias("value"))
 
