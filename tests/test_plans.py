@@ -3,6 +3,7 @@
 import pytest
 
 from asof_factors.operators import asof, membership, prices
+from asof_factors.sources import filings
 from asof_factors.sources import fixtures as X
 
 SMOKE = "/root/testdata/sf0.001"
@@ -57,3 +58,26 @@ def test_unfolded_facts_are_not_sorted_again(spark):
     """The rank of a period came from a window over a row for each fact and date."""
     windows = [line for line in planned(asof.snapshot_long(X.facts(spark, SMOKE), X.DATES)).splitlines() if "Window [" in line]
     assert windows and not [line for line in windows if "as_of_date#" in line]
+
+
+@pytest.mark.parametrize("pinned", [False, True])
+def test_lookups_move_no_facts(spark, pinned):
+    """Filings and requests in one sequence were dealt out anew, and facts went through one more without requests."""
+    f = X.facts(spark, SMOKE)
+    keys = ["ticker", "tag", *(["fiscal_period_end"] if pinned else [])]
+    asked = f.select(*keys).distinct().selectExpr("*", "DATE'2000-12-31' AS as_of_date", "1L AS request_id")
+    plan = planned(asof.lookup(asked, f))
+    assert plan.count("Union") == 1 and plan.count("row_number()") == 1
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "tag#" in line]
+
+
+def test_indian_tables_share_one_aggregation(spark):
+    assert not [df for df in X.bse_landed(spark, SMOKE) if "lineitem" in planned(df)]
+
+
+def test_relabelled_facts_stay(spark):
+    """Facts dealt out by ticker were dealt out again by company."""
+    f = X.facts(spark, SMOKE, by="cik")
+    log = f.select("cik", "ticker").distinct()
+    moved = [line for line in planned(filings.relabel(f, log, log)).splitlines() if "Exchange hashpartitioning(cik#" in line and "REPARTITION_BY_NUM" not in line]
+    assert len(moved) <= 1  # the new tickers
