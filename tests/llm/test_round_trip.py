@@ -4,6 +4,7 @@ import os
 import subprocess
 import sys
 
+import pyarrow as pa
 from asof_factors.llm import sentencepiece_codec
 
 from test_small_cases import docs
@@ -40,3 +41,17 @@ assert sorted((r.doc_id, r.text) for r in got) == [(1, "of the day"), (2, "")]
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_a_batch_is_not_turned_into_strings_whole(monkeypatch):
+    """A batch of 10,000 documents lay in a task twice, in Arrow and as strings."""
+    monkeypatch.setattr(sentencepiece_codec, "TEXTS", 4)
+    v, at_once = sentencepiece_codec.Vocabulary.load(), []
+    encoder = sentencepiece_codec.Encoder(v)
+    texts = ["a b", None, "", "▁", "x  é\n", "of the day", "日", "end", "of", ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [*range(9), None], "text": texts})
+    found = sentencepiece_codec.encoded(lambda t: at_once.append(len(t)) or encoder(t), batch)
+    rows = pa.Table.from_batches(found).to_pylist()
+    assert at_once == [4, 4, 2] and [r["doc_id"] for r in rows] == [*range(9), None]
+    assert [r["ids"] for r in rows] == [i.tolist() for i in encoder([t or "" for t in texts])[0]]
+    assert [r["round_trip"] for r in rows] == [t != "▁" for t in texts] and all(r["same"] for r in rows)
