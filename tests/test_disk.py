@@ -7,7 +7,8 @@ import pytest
 
 from asof_factors.operators import asof, portfolios, prices, scores
 from asof_factors.operators.ranks import exact_ranks
-from asof_factors.plans import backtest, storage
+from asof_factors.plans import backtest, fact_table, storage
+from asof_factors.schema import FACTS
 from asof_factors.sources import fixtures as X
 from pyspark.sql import functions as F
 
@@ -72,3 +73,34 @@ def test_buckets_without_ranking_all(spark, monkeypatch, kind):
     got = sorted((str(r.as_of_date), r.ticker, r.decile) for r in out.collect() if r.decile)
     assert got == by_ranks(df, 10, 5) and out.count() == len(rows) and out.columns == [*df.columns, "decile"]
     assert kind != "even" or seen[0] < len(rows) / 5
+
+
+def test_a_first_load_is_written_once(spark, monkeypatch, tmp_path):
+    """A batch was copied, joined with an empty table, copied again and staged before it was written."""
+    made = []
+    monkeypatch.setattr(fact_table, "materialised", lambda df: made.append(1) or storage.materialised(df))
+    f = X.facts(spark, SMOKE)
+    fact_table.add_filings(f, f"{tmp_path}/a")
+    fact_table.replace_companies(f, f"{tmp_path}/b")
+    assert not made
+    rows = [sorted((r.cik, r.tag, str(r.fiscal_period_end), str(r.filed_date), r.value) for r in fact_table.read_facts(spark, f"{tmp_path}/{k}").collect()) for k in "ab"]
+    assert rows[0] == rows[1] and len(rows[0]) == f.count()
+    assert not [p for p in tmp_path.glob("*/.staged*")]
+
+
+def test_repeats_keep_the_rows_held(spark, tmp_path):
+    """Repeats within a batch and of the table go, with nulls in a key as well; a fact's flags are those of all its filings."""
+    day = lambda y, m: dt.date(y, m, 1)
+    row = lambda filed, value, start=None: ("1", "A", "Assets", dt.date(2019, 12, 31), start, filed, value, "USD", "10-K", 2019, "FY", False, "us-gaap")
+    put = lambda *rows: fact_table.add_filings(spark.createDataFrame(list(rows), FACTS), f"{tmp_path}/t")
+    assert put(row(day(2020, 5), 1.0), row(day(2020, 5), 1.0), row(day(2020, 5), 1.0, day(2019, 1))) == 1
+    assert put(row(day(2020, 5), 1.0)) == 0
+    assert put(row(day(2020, 5), 1.0), row(day(2020, 3), None)) == 1
+    got = sorted((str(r.filed_date), str(r.start_date), r.value, r.is_restatement) for r in fact_table.read_facts(spark, f"{tmp_path}/t").collect())
+    assert got == [("2020-03-01", "None", None, False), ("2020-05-01", "2019-01-01", 1.0, True), ("2020-05-01", "None", 1.0, True)]
+
+
+def test_landed_text_is_compressed(spark, tmp_path):
+    X.land_company_json(X.facts(spark, SMOKE), f"{tmp_path}/json")
+    X.land_dart(spark, SMOKE, f"{tmp_path}/dart")
+    assert not [p for p in tmp_path.rglob("part-*") if p.suffix in (".txt", ".json")] and list(tmp_path.rglob("*.gz"))
