@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from asof_factors.llm import common
 from asof_factors.operators import asof, portfolios, prices, scores
 from asof_factors.operators.ranks import exact_ranks
 from asof_factors.plans import backtest, fact_table, storage
@@ -31,6 +32,18 @@ def test_a_made_table_leaves_no_shuffle(spark):
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
 
 
+@pytest.mark.parametrize("make", [common.cut, common.saved])
+def test_steps_of_operators_leave_no_shuffle(spark, make):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    held = lambda: sorted(b for b in str(env.blockManager().diskBlockManager().getAllBlocks()).split(", ") if "shuffle" in b)
+    before = held()
+    made = make(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(2):
+        assert made.count() == 7 and made.agg(F.sum("count")).first()[0] == 1000
+    kept = [b for b in held() if b not in before]
+    assert len(kept) <= 2 * 4 * 4  # of the four counts here, a task's data and index each
+
+
 def test_the_wide_snapshot_stays(spark):
     """It was dealt out by date and ticker for each join, though all sides were dealt out by ticker."""
     p = X.prices(spark, SMOKE)
